@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "op02_warc",
+    "op05_secrets",
     "op08_packing",
 )
 
