@@ -29,7 +29,9 @@ from ._spark import table
 
 WINDOW = 1024
 END_ID = 0
-CACHE_WORDS = 400_000  # distinct words kept by a worker between flushes
+CACHE_WORDS = 600_000  # distinct parts of texts kept by a worker; beyond that it begins anew
+CACHE_CHARS = 40  # longer parts are not kept
+_END = np.array([END_ID], np.uint32).tobytes()
 
 SCHEMA = T.StructType(
     [
@@ -47,70 +49,88 @@ _TWO_WHITE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-class _Words(dict):
-    """Numbers words in order of first sight; ``fresh`` holds those not yet encoded."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's printable letter for every byte: printable Latin-1 stands for itself, the rest follow 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def __init__(self):
-        self.fresh: list[str] = []
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.fresh.append(key)
-        return n
+class _Parts(dict):
+    """Part of a text -> its ids as bytes.  ``blank`` stands before each part, or nothing does.
+
+    A part of letters alone is one pre-token and goes straight to the BPE model;
+    a part closed by a comma or full stop, and one holding a lone line break
+    between other characters, are put together from the ids of their pieces, as
+    the pre-tokeniser cuts there too.  Everything else takes the whole tokenizer.
+    """
+
+    def __init__(self, owner: WordTokenizer, blank: str):
+        self.owner, self.blank = owner, blank
+
+    def __missing__(self, key: str) -> bytes:
+        owner, last = self.owner, key[-1:]
+        if key.isalpha():
+            letters = (self.blank + key).encode().decode("latin-1").translate(owner.letters)
+            ids = np.array([t.id for t in owner.tokenizer.model.tokenize(letters)], np.uint32).tobytes()
+        elif last in (".", ",") and key[:-1].isalpha():
+            ids = self[key[:-1]] + owner.head[last]
+        else:
+            before, line, after = key.partition("\n")
+            if line and before and after and not before[-1].isspace() and not after[0].isspace():
+                return self[before] + owner.line + owner.head[after]
+            ids = np.array(owner.tokenizer.encode(self.blank + key, add_special_tokens=False).ids, np.uint32).tobytes()
+        if len(key) <= CACHE_CHARS:
+            owner.held += 1
+            self[key] = ids
+        return ids
 
 
 class WordTokenizer:
-    """ids of whole texts, each distinct word encoded once.
+    """ids of whole texts, each distinct part encoded once and kept.
 
-    The tokenizer's own pre-tokenisation always cuts between a character that
-    is not white space and a blank followed by one, so the parts between such
-    places are encoded apart from each other with the same result.
+    The pre-tokeniser always cuts between a character that is not white space
+    and a blank followed by another such character, so the parts between these
+    places have the same ids apart as together.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self.reset()
+        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32).tobytes()
 
     def reset(self) -> None:
-        self.index = _Words()
-        self.flat, self.at = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.held, self.head, self.rest = 0, _Parts(self, ""), _Parts(self, " ")
 
-    def parts(self, text: str) -> list[str]:
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids with the end mark after them."""
+        if self.held > CACHE_WORDS:
+            self.reset()
+        if not text:
+            return np.array([END_ID], np.uint32)
         if _TWO_WHITE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            first, *rest = _CUT.split(text)
+            rest = [x[1:] for x in rest]
+        else:
+            first, *rest = text.split(" ")
+            if rest and not rest[-1]:  # a blank at the end
+                rest.pop()
+                rest[-1:] = [rest[-1] + " "] if rest else []
+                first = first if rest else first + " "
+        return np.frombuffer(b"".join([self.head[first] if first else b"", *map(self.rest.__getitem__, rest), _END]), np.uint32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, offsets of the texts in them), an end mark after each text."""
-        if len(self.index) > CACHE_WORDS:
-            self.reset()
-        look, counts, numbers = self.index.__getitem__, [], []
-        for text in texts:
-            parts = self.parts(text) if text else []
-            counts.append(len(parts))
-            numbers.append(np.fromiter(map(look, parts), np.int64, len(parts)))
-        if self.index.fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.fresh, add_special_tokens=False)]
-            self.index.fresh.clear()
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())))
-            self.at.append(self.at[-1][-1] + np.cumsum(sizes))
-            self.flat, self.at = [np.concatenate(self.flat)], [np.concatenate(self.at)]
-        flat, at = self.flat[0], self.at[0]
-        seq = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        sizes = at[seq + 1] - at[seq]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(at[seq] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        out = np.full(len(ids) + len(texts), END_ID, np.uint32)
-        keep = np.ones(len(out), bool)
-        offs = bounds + np.arange(len(texts) + 1)
-        keep[offs[1:] - 1] = False
-        out[keep] = ids
-        return out, offs
+
+_kept: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: later tasks find the words of earlier ones."""
+    if path not in _kept:
+        _kept[path] = WordTokenizer(path)
+    return _kept[path]
 
 
 class SumOfSquares:
@@ -156,7 +176,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, text_col: s
     import zstandard
 
     base = TaskContext.get().partitionId() << 40
-    tok, bins = WordTokenizer(path), SumOfSquares(window)
+    tok, bins = tokenizer(path), SumOfSquares(window)
     held: dict[int, list[tuple]] = {}  # pieces of open windows with their ids, squeezed: what the sum of squares leaves open
     squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     rows: list[tuple] = []
@@ -177,10 +197,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, text_col: s
     for batch in batches:
         docs, texts = batch.column(id_col).to_pylist(), batch.column(text_col)
         for lo in range(0, len(docs), 256):
-            part = texts.slice(lo, 256).to_pylist()
-            ids, offs = tok.encode(part)
-            for k in range(len(part)):
-                own, doc = ids[offs[k] : offs[k + 1]], docs[lo + k]
+            for doc, text in zip(docs[lo : lo + 256], texts.slice(lo, 256).to_pylist()):
+                own = tok.ids(text)
                 total, at = len(own), 0
                 while total - at >= window:
                     emit(doc, at, own[at : at + window], total, bins.new(), 0)
