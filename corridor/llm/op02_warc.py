@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ._spark import materialise, table
 
 DEDUP_BYTES = 1000  # smaller payloads are never revisits
-ARCHIVE_BYTES = 4 << 20  # an archive is closed when it holds this much
+ARCHIVE_BYTES = 1 << 20  # an archive is closed when it holds this much
 DATE = "20240101000000"
 
 #: fixed values: the field lines of the two ARC versions
@@ -206,7 +206,8 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([name.replace(".arc", ".warc.gz")]), pa.array([version], pa.int32()), pa.array([b"".join(out)], pa.binary())], names=ARCHIVES.names)
 
     for batch in batches:
-        for page, url, html, ref in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
+        for row in range(batch.num_rows):
+            page, url, html, ref = (batch.column(c)[row].as_py() for c in ("page_id", "url", "html", "refers_to"))
             payload = (html or "").encode()
             key = "" if page is None else str(page)
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {key}\r\n\r\n"
