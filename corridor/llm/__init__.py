@@ -5,9 +5,14 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "op01_language",
     "op02_warc",
+    "op04_licences",
     "op05_secrets",
+    "op06_nearest",
     "op08_packing",
+    "op09_quality",
+    "op10_decontamination",
 )
 
 
