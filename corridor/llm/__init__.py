@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "op01_language",
     "op02_warc",
+    "op03_substrings",
     "op04_licences",
     "op05_secrets",
     "op06_nearest",
