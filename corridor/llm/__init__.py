@@ -11,6 +11,7 @@ MODULES = (
     "op04_licences",
     "op05_secrets",
     "op06_nearest",
+    "op07_jaccard",
     "op08_packing",
     "op09_quality",
     "op10_decontamination",
