@@ -188,6 +188,22 @@ def _has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def classify(net: Network | None, tables: list | None, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of every text of a slice."""
+    n = len(offs) - 1
+    lang, score = np.full(n, "und", object), np.zeros(n)
+    known = _has_letter(data, offs) if net else np.zeros(n, bool)
+    if known.any():
+        x, doc, size = windows(data, offs)
+        prob = net.predict(x, tables) * size[:, None]
+        total = np.zeros((n, len(net.classes)))
+        np.add.at(total, doc, prob)
+        total /= np.maximum(1, np.diff(offs))[:, None]
+        lang[known] = np.array(net.classes, object)[total[known].argmax(1)]
+        score[known] = np.clip(total[known].max(1), 0, 1)
+    return lang, score
+
+
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
@@ -198,23 +214,29 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
         for batch in batches:
             data, offs = _text.buffers(batch.column("text"))
             for lo, hi in _text.slices(offs, 1 << 20):
-                own = offs[lo : hi + 1] - offs[lo]
-                part = data[offs[lo] : offs[hi]]
-                n, lang, score = hi - lo, np.full(hi - lo, "und", object), np.zeros(hi - lo)
-                known = _has_letter(part, own) if net else np.zeros(n, bool)
-                if known.any():
-                    x, doc, size = windows(part, own)
-                    prob = net.predict(x, tables) * size[:, None]
-                    total = np.zeros((n, len(net.classes)))
-                    np.add.at(total, doc, prob)
-                    total /= np.maximum(1, np.diff(own))[:, None]
-                    lang[known] = np.array(net.classes, object)[total[known].argmax(1)]
-                    score[known] = np.clip(total[known].max(1), 0, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(lang, pa.string()), pa.array(score)], names=PREDICTIONS.names)
+                lang, score = classify(net, tables, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], names=PREDICTIONS.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PREDICTIONS)
 
 
+def accept(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language, with all their columns and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        tables = net.tables() if net else None
+        for batch in batches:
+            data, offs = _text.buffers(batch.column(place))
+            for lo, hi in _text.slices(offs, 1 << 20):
+                lang, _ = classify(net, tables, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                yield batch.slice(lo, hi - lo).filter(pa.array(lang != "und"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str = "doc_id") -> F.Column:
     """True for the held-out quarter of documents; a null id is held out as well."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))

@@ -141,6 +141,14 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc
     )
 
 
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows in whose text no rule finds anything, with all their columns."""
+    found, _ = update(docs.select(F.col(id_col).cast("long").alias("path"), F.col(text_col).alias("text")))
+    blobs = materialise(found.select("blob").distinct(), "findings")
+    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return docs.join(blobs, blob == blobs["blob"], "left_anti")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 

@@ -264,10 +264,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns."""
-    hit = matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that hold no benchmark passage, with all their columns and no shuffle."""
+    place = docs.columns.index(text_col)
+    for ix in blocks(benchmark, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(ix)
+
+        def run(batches, shared=shared):
+            ix = shared.value
+            for batch in batches:
+                data, offs = _text.buffers(batch.column(place))
+                keep = np.ones(batch.num_rows, bool)
+                for lo, hi in _text.slices(offs):
+                    for d, *_ in search(ix, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
+                        keep[lo + d] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
