@@ -24,8 +24,9 @@ def segment_distance(px, py, x0, y0, x1, y1) -> Column:
 
 
 def acute_angle(ax, ay, bx, by) -> Column:
-    """Degrees between two unit directions, whichever way they point."""
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(ax * bx + ay * by))))
+    """Degrees between two unit directions, whichever way they point; null if either is."""
+    cosine = F.abs(ax * bx + ay * by)
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), cosine))))
 
 
 def unit(x: Column, y: Column) -> tuple[Column, Column]:

@@ -70,7 +70,7 @@ def skip_reason(c=CONFIG) -> Column:
 
 
 def osm_gap(lane_edge: Column, road_width: Column) -> Column:
-    return F.greatest(lane_edge - road_width / 2, F.lit(0.0))
+    return F.when(lane_edge.isNotNull() & road_width.isNotNull(), F.greatest(lane_edge - road_width / 2, F.lit(0.0)))
 
 
 def composition_osm(runs: Column, road_edge: Column, lane_edge: Column, lane_start: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("gap", "pixel")
+MODULES: tuple[str, ...] = ("gap", "pixel", "network", "embedding", "profile")
 
 
 def _gather(name: str) -> dict:

@@ -37,8 +37,8 @@ RELATIONS = {
     # profiles across a road: the events of a user in the order of time
     "profiles": """
         SELECT user_id AS section_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS i,
-               (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.05 AS dist_m, value AS brightness,
-               (event_id * 7 % 100) / 100.0 - 0.5 AS ndvi, (event_id * 13 % 100) / 500.0 - 0.1 AS redness,
+               (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * CAST(0.05 AS DOUBLE) AS dist_m, value AS brightness,
+               (event_id * 7 % 100) / CAST(100 AS DOUBLE) - 0.5 AS ndvi, (event_id * 13 % 100) / CAST(500 AS DOUBLE) - 0.1 AS redness,
                event_type AS label, event_id % 5 = 0 AS shadow, event_id % 3 <> 0 AS lane
         FROM {events}""",
     # gap records: the orders of a customer, two metres apart
