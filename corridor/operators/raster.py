@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridor.operators import kernels
+from corridor.sources.store import materialise
 
 BLOCK = 512
 
@@ -65,17 +66,25 @@ def apply_blocks(pixels: DataFrame, columns: list[str], kernel: Callable[[dict[s
     return wide.groupBy("tile", "brow", "bcol").applyInPandas(run, f"tile string, prow int, pcol int, {schema}")
 
 
-def closing(mask: DataFrame, radius: int) -> DataFrame:
-    """Closing of a set of pixels by a disc, within the bounds of the tile, false outside."""
-    bounds = mask.groupBy("tile").agg(F.max("prow").alias("h"), F.max("pcol").alias("w"))
+def closing(mask: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
+    """Closing of a set of pixels by a disc, false outside the frame (tile, height, width).
 
+    What lies nearer to the frame's border than the disc reaches is lost, as the disc
+    meets the outside there.
+    """
     def kernel(g):
-        closed = kernels.close(g["known"], kernels.disk(radius))
+        closed = kernels.close(np.pad(g["known"], 2 * radius), kernels.disk(radius))[2 * radius : -2 * radius, 2 * radius : -2 * radius]
         return {"fill": closed, "inside": closed}
 
-    # pixels that the closing adds lie in blocks that have pixels within the radius
+    # a closed pixel lies within the radius of the mask, and what decides on it within twice that
     out = apply_blocks(mask.select("tile", "prow", "pcol"), [], kernel, "inside boolean", 2 * radius)
-    return out.join(bounds, "tile").where("prow <= h and pcol <= w").select("tile", "prow", "pcol")
+    r = radius
+    return out.join(F.broadcast(frame), "tile").where(f"prow >= {r} AND pcol >= {r} AND prow < height - {r} AND pcol < width - {r}").select("tile", "prow", "pcol")
+
+
+def frame(pixels: DataFrame) -> DataFrame:
+    """(tile, height, width), one row for each tile."""
+    return pixels.groupBy("tile").agg((F.max("prow") + 1).alias("height"), (F.max("pcol") + 1).alias("width"))
 
 
 def dilation(mask: DataFrame, offsets: np.ndarray) -> DataFrame:
@@ -132,27 +141,29 @@ def components(mask: DataFrame, block: int = BLOCK) -> DataFrame:
         return pd.DataFrame({"tile": pdf.tile, "prow": pdf.prow, "pcol": pdf.pcol, "local": root.astype(np.int64)})
 
     local = with_halo(mask.select("tile", "prow", "pcol").distinct(), 0, block).groupBy("tile", "brow", "bcol").applyInPandas(run, "tile string, prow int, pcol int, local long")
-    local = local.persist()
+    local = materialise(local, "labels")
     edge = local.where(f"prow % {block} = 0 or pcol % {block} = 0 or prow % {block} = {block - 1} or pcol % {block} = {block - 1}")
     pairs = []
     for r, c in ((1, 0), (0, 1)):
         a = edge.select("tile", "prow", "pcol", F.col("local").alias("a"))
         b = edge.select("tile", (F.col("prow") - r).alias("prow"), (F.col("pcol") - c).alias("pcol"), F.col("local").alias("b"))
         pairs.append(a.join(b, ["tile", "prow", "pcol"]).where("a <> b").select("tile", "a", "b"))
-    edges = pairs[0].unionByName(pairs[1]).distinct()
+    edges = materialise(pairs[0].unionByName(pairs[1]).distinct(), "borders")
+    if edges.isEmpty():
+        return local.select("tile", "prow", "pcol", F.col("local").alias("comp"))
     merged = connect_labels(edges)
     return local.join(merged.withColumnRenamed("node", "local"), ["tile", "local"], "left").select("tile", "prow", "pcol", F.coalesce("comp", "local").alias("comp"))
 
 
 def connect_labels(edges: DataFrame) -> DataFrame:
     """(tile, node, comp): least label reachable over (tile, a, b), with pointer jumping; logarithmic rounds."""
-    both = edges.unionByName(edges.select("tile", F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    label = both.select("tile", F.col("a").alias("node"), F.col("a").alias("comp")).distinct().persist()
+    both = edges.unionByName(edges.select("tile", F.col("b").alias("a"), F.col("a").alias("b")))
+    label = materialise(both.select("tile", F.col("a").alias("node"), F.col("a").alias("comp")).distinct(), "labels")
     while True:
         near = both.join(label.select("tile", F.col("node").alias("b"), "comp"), ["tile", "b"]).groupBy("tile", F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = label.join(near, ["tile", "node"]).select("tile", "node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         jump = step.select("tile", F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = step.join(jump, ["tile", "comp"]).select("tile", "node", F.col("root").alias("comp"), "old").persist()
+        new = materialise(step.join(jump, ["tile", "comp"]).select("tile", "node", F.col("root").alias("comp"), "old"), "labels")
         done = new.where("comp <> old").isEmpty()
         label = new.select("tile", "node", "comp")
         if done:
@@ -221,9 +232,9 @@ def shadow_mask(pixels: DataFrame, road) -> DataFrame:
     return values.join(F.broadcast(cut), "tile").where(F.col("excess") >= F.col("threshold")).select("tile", "prow", "pcol")
 
 
-def clean_mask(mask: DataFrame, gsd: float, closing_m: float, area_m2: float) -> DataFrame:
+def clean_mask(mask: DataFrame, frame_: DataFrame, gsd: float, closing_m: float, area_m2: float) -> DataFrame:
     """Closed by a disc, without components under an area."""
-    closed = closing(mask, max(1, round(closing_m / gsd)))
+    closed = closing(mask, max(1, round(closing_m / gsd)), frame_)
     return at_least(components(closed), int(np.ceil(area_m2 / gsd**2))).select("tile", "prow", "pcol")
 
 

@@ -60,10 +60,8 @@ RELATIONS = {
     "annotations": """
         SELECT concat('tile_', CAST(p_partkey % 40 AS STRING)) AS stem, p_partkey AS line_no,
                CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN concat(CAST(p_partkey % 2 AS STRING), ' 0.1 0.2 0.3 0.4')
-                    ELSE concat(CAST(p_partkey % 2 AS STRING), ' ', CAST((p_partkey * 7 % 90) / 100.0 AS STRING), ' ', CAST((p_partkey * 11 % 90) / 100.0 AS STRING), ' ',
-                                CAST((p_partkey * 7 % 90) / 100.0 + 0.0625 AS STRING), ' ', CAST((p_partkey * 11 % 90) / 100.0 AS STRING), ' ',
-                                CAST((p_partkey * 7 % 90) / 100.0 + 0.0625 AS STRING), ' ', CAST((p_partkey * 11 % 90) / 100.0 + 0.09375 AS STRING)) END AS line
-        FROM {part}""",
+                    ELSE concat(CAST(p_partkey % 2 AS STRING), ' ', CAST(u AS STRING), ' ', CAST(v AS STRING), ' ', CAST(u + 0.0625 AS STRING), ' ', CAST(v AS STRING), ' ', CAST(u + 0.0625 AS STRING), ' ', CAST(v + 0.09375 AS STRING)) END AS line
+        FROM (SELECT p_partkey, (p_partkey * 7 % 90) / CAST(128 AS DOUBLE) AS u, (p_partkey * 11 % 90) / CAST(128 AS DOUBLE) AS v FROM {part}) p""",
     # an image with a red lane beside a road, a verge between them; see tests
     "phantom": """
         SELECT 'phantom' AS tile, prow, pcol,
