@@ -66,18 +66,19 @@ def apply_blocks(pixels: DataFrame, columns: list[str], kernel: Callable[[dict[s
     return wide.groupBy("tile", "brow", "bcol").applyInPandas(run, f"tile string, prow int, pcol int, {schema}")
 
 
-def closing(mask: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
+def closing(mask: DataFrame, radius: int, frame: DataFrame, block: int = BLOCK) -> DataFrame:
     """Closing of a set of pixels by a disc, false outside the frame (tile, height, width).
 
     What lies nearer to the frame's border than the disc reaches is lost, as the disc
     meets the outside there.
     """
+
     def kernel(g):
         closed = kernels.close(np.pad(g["known"], 2 * radius), kernels.disk(radius))[2 * radius : -2 * radius, 2 * radius : -2 * radius]
         return {"fill": closed, "inside": closed}
 
     # a closed pixel lies within the radius of the mask, and what decides on it within twice that
-    out = apply_blocks(mask.select("tile", "prow", "pcol"), [], kernel, "inside boolean", 2 * radius)
+    out = apply_blocks(mask.select("tile", "prow", "pcol"), [], kernel, "inside boolean", 2 * radius, block)
     r = radius
     return out.join(F.broadcast(frame), "tile").where(f"prow >= {r} AND pcol >= {r} AND prow < height - {r} AND pcol < width - {r}").select("tile", "prow", "pcol")
 
@@ -102,7 +103,7 @@ def erosion(mask: DataFrame, offsets: np.ndarray) -> DataFrame:
     return votes.groupBy("tile", "prow", "pcol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(offsets)).drop("n")
 
 
-def distance(mask: DataFrame, pixels: DataFrame, reach: int) -> DataFrame:
+def distance(mask: DataFrame, pixels: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
     """(tile, prow, pcol, distance, near_row, near_col) of each pixel's nearest mask pixel within ``reach``, null beyond."""
     both = pixels.select("tile", "prow", "pcol", F.lit(False).alias("m")).unionByName(mask.select("tile", "prow", "pcol", F.lit(True).alias("m")))
     both = both.groupBy("tile", "prow", "pcol").agg(F.max("m").alias("m"), F.max(~F.col("m")).alias("asked"))
@@ -113,7 +114,7 @@ def distance(mask: DataFrame, pixels: DataFrame, reach: int) -> DataFrame:
         m = np.zeros(shape, bool)
         m[at] = pdf.m.to_numpy()
         d, r, c = kernels.edt(m)
-        own = pdf[pdf.asked & (pdf.prow // BLOCK == brow) & (pdf.pcol // BLOCK == bcol)]
+        own = pdf[pdf.asked & (pdf.prow // block == brow) & (pdf.pcol // block == bcol)]
         i = (own.prow.to_numpy() - r0, own.pcol.to_numpy() - c0)
         ok = d[i] <= reach
         null = lambda v: pd.array(np.where(ok, v, 0), dtype="Int32").copy()
@@ -121,7 +122,7 @@ def distance(mask: DataFrame, pixels: DataFrame, reach: int) -> DataFrame:
         rows[~ok], cols[~ok] = pd.NA, pd.NA
         return pd.DataFrame({"tile": own.tile, "prow": own.prow, "pcol": own.pcol, "distance": np.where(ok, d[i], np.nan), "near_row": rows, "near_col": cols})
 
-    out = with_halo(both, reach).groupBy("tile", "brow", "bcol").applyInPandas(run, "tile string, prow int, pcol int, distance double, near_row int, near_col int")
+    out = with_halo(both, reach, block).groupBy("tile", "brow", "bcol").applyInPandas(run, "tile string, prow int, pcol int, distance double, near_row int, near_col int")
     return out.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
