@@ -12,12 +12,14 @@ and the shingle's position.  Not all pairs of a list are tried:
 * answer skipping: in each list one class is the pivot, the one that comes
   first in an order common to all lists, and the others are verified against it
   alone.  Classes found linked are one component, and lists within one component
-  are done.  Two rounds with different orders leave few lists open.
+  are done.  Rounds with different orders leave few lists open.
 * what remains are pairs of different components in an open list.  List entries
   too far apart by size or position are skipped.  The overlaps already computed
   with a common pivot p bound the new one: |x & y| <= min(|x & p|, |y & p|) +
-  min(|x| - |x & p|, |y| - |y & p|); pairs that this rules out are skipped, and
-  only the rest is verified from the sets.
+  min(|x' - p|, |y' - p|), where x' has those of x's shingles that occur in any
+  other class.  So do sketches of parity bits: sets differ in as many shingles
+  at least as their sketches in bits.  Pairs that this rules out are skipped,
+  and only the rest is verified from the sets.
 
 So no link between different components is lost, while a large group of near
 copies costs one verification for each of its members.
@@ -46,11 +48,12 @@ from ._spark import materialise, release, table
 
 WORDS = 4
 PERCENT = 85
-ORDERS = 2  # rounds of pivots
+ORDERS = 3  # rounds of pivots
 NO_ID = np.iinfo(np.int64).max
 
 SETS = "node long, doc_id long, n long, d1 long, d2 long"
-SURVIVORS = "node long, n long, unique long, tokens array<long>"
+SURVIVORS = "node long, n long, unique long, tokens array<long>, sketch array<long>"
+SKETCH = 8  # longs of parity bits
 
 
 def sets(row: dict, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -147,13 +150,20 @@ def _survivors(k: int, bits: int, n_buckets: int, percent: int):
                 alone = int((f == 0).sum())
                 if alone < prefix(len(s), percent):
                     order = np.lexsort((s, f))[alone:]
-                    rows.append((int(node), len(s), alone, s[order].view(np.int64)))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], names=["node", "n", "unique", "tokens"])
+                    rows.append((int(node), len(s), alone, s[order].view(np.int64), sketch(s)))
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "n", "unique", "tokens", "sketch"])
 
     return run
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles' counts by hash: bits in which two sketches differ are shingles that only one set has."""
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def prefix(n: int, percent: int) -> int:
     """First shingles of a set of which similar sets share one."""
     return n - -(-percent * n // 100) + 1
@@ -165,11 +175,14 @@ def need(nx, ny, percent: int) -> F.Column:
 
 
 def verify(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
-    """(a, b, overlap, na, nb): the sets are looked up and intersected once for each pair."""
+    """(a, b, overlap, na, nb, ma, mb): the sets are looked up and intersected once for each pair.
+
+    m is the number of a set's shingles that occur in other classes at all.
+    """
     a = sets_.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets_.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
-    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("overlap"), "na", "nb")
+    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("overlap"), "na", "nb", F.size("ta").cast("long").alias("ma"), F.size("tb").cast("long").alias("mb"))
 
 
 def components(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
@@ -201,13 +214,14 @@ def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     alive = materialise(found, "survivors")
     release()
     size = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1
-    index = alive.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), (size - F.col("unique")).cast("int"))).alias("pos", "token"), "unique")
-    index = materialise(index.select("token", "node", "n", (F.col("pos") + F.col("unique")).alias("pos")), "index")
+    index = alive.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), (size - F.col("unique")).cast("int"))).alias("pos", "token"), "unique", "sketch")
+    index = materialise(index.select("token", "node", "n", (F.col("pos") + F.col("unique")).alias("pos"), (F.col("unique") / F.col("n")).alias("alone"), "sketch"), "index")
     label = alive.select("node", F.col("node").alias("comp"))
     tested = links = None
     for order in range(ORDERS):
-        rank = F.col("node") if order == 0 else F.xxhash64("node", F.lit(order))
-        lists = index.join(label, "node")
+        # first the class with the smallest share of shingles of its own: the middle of a group of copies
+        rank = F.col("alone") if order == 0 else F.xxhash64("node", F.lit(order)).cast("double")
+        lists = index.drop("sketch").join(label, "node")
         heads = lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "comp"), F.struct(rank, "node")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "p")
         near = (F.col("n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("n") * percent)
         pairs = lists.join(heads, "token").where((F.col("comp") != F.col("p.comp")) & near).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
@@ -218,7 +232,7 @@ def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
         links = tested.where(F.col("overlap") >= need(F.col("na"), F.col("nb"), percent)).select("a", "b")
         label = components(alive.select("node"), links, "labels")
         release()
-    rest = _open_pairs(index, label, tested, percent)
+    rest = _open_pairs(index.drop("alone"), label, tested, percent)
     got = materialise(verify(rest, alive), "verified")
     more = got.where(F.col("overlap") >= need(F.col("na"), F.col("nb"), percent)).select("a", "b")
     if not more.isEmpty():
@@ -228,27 +242,34 @@ def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
 
 def _open_pairs(index: DataFrame, label: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a list and that neither size, position nor a pivot rules out."""
-    lists = index.join(label, "node")
-    still = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    lists = lists.join(still, "token")
-    x = lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp")])
-    y = lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp")])
+    """Pairs of different components that share a list and that neither size, position nor a pivot rules out.
+
+    All this is decided inside the join.  Of a list, classes outside its largest
+    component are joined with the whole list, so that a large component is not
+    paired with itself.
+    """
+    # each class's pivot, the one with which it shares most, how much, and how many of its shared shingles lie outside
+    best = tested.groupBy("a").agg(F.max(F.struct("overlap", "b", "ma")).alias("t"))
+    best = best.select(F.col("a").alias("node"), F.col("t.b").alias("p"), F.col("t.overlap").alias("o"), (F.col("t.ma") - F.col("t.overlap")).alias("out"))
+    own = tested.groupBy("b").agg(F.max("mb").alias("o")).select(F.col("b").alias("node"), F.col("b").alias("p"), "o", F.lit(0).cast("long").alias("out"))
+    pivot = best.unionByName(own).groupBy("node").agg(F.max(F.struct("o", "p", "out")).alias("t")).select("node", "t.*")
+    lists = index.join(label, "node").join(pivot, "node", "left")
+    sizes = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "main")
+    lists = lists.join(main, "token")
+    cols = ("node", "n", "pos", "comp", "p", "o", "out", "sketch")
+    x = lists.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in cols])
+    y = lists.select("token", *[F.col(c).alias(f"{c}_y") for c in cols])
+    least = need(F.col("n_x"), F.col("n_y"), percent)
     left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + F.least("pos_x", "pos_y")
-    fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") * 100 >= F.col("n_y") * percent) & (left >= need(F.col("n_x"), F.col("n_y"), percent))
-    before = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    # the smaller set comes first: n_x <= n_y
-    pairs = x.join(y, (x["token"] == y["token"]) & before & fits).select("node_x", "node_y", "n_x", "n_y").distinct()
-    done = tested.select(F.col("a").alias("node_x"), F.col("b").alias("node_y")).unionByName(tested.select(F.col("b").alias("node_x"), F.col("a").alias("node_y")))
-    pairs = pairs.join(done, ["node_x", "node_y"], "left_anti")
-    pivot = F.max(F.struct("overlap", "b"))
-    main = tested.groupBy("a").agg(pivot.alias("t")).select("a", F.col("t.b").alias("p"), F.col("t.overlap").alias("o"))
-    px = main.select(F.col("a").alias("node_x"), F.col("p").alias("p"), F.col("o").alias("o_x"))
-    py = tested.select(F.col("a").alias("node_y"), F.col("b").alias("p"), F.col("overlap").alias("o_y"))
-    bounded = pairs.join(px, "node_x", "left").join(py, ["node_y", "p"], "left")
-    most = F.least("o_x", "o_y") + F.least(F.col("n_x") - F.col("o_x"), F.col("n_y") - F.col("o_y"))
-    open_ = F.col("o_x").isNull() | F.col("o_y").isNull() | (most >= need(F.col("n_x"), F.col("n_y"), percent))
-    return bounded.where(open_).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    sized = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    bound = F.least("o_x", "o_y") + F.least("out_x", "out_y")
+    ruled_out = F.coalesce((F.col("p_x") == F.col("p_y")) & (bound < least), F.lit(False))
+    apart = sum((F.bit_count(F.col("sketch_x")[k].bitwiseXOR(F.col("sketch_y")[k])) for k in range(SKETCH)), F.lit(0))
+    fits = (F.col("comp_x") != F.col("comp_y")) & sized & (left >= least) & ~ruled_out & (F.col("n_x") + F.col("n_y") - apart >= 2 * least)
+    pairs = x.join(y, (x["token"] == y["token"]) & fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
