@@ -36,7 +36,8 @@ FILTERS = 16
 DIM = 8
 SAMPLE = 16_000  # training windows
 PER_DOC = 4  # training windows of one document at most
-EPOCHS = 6
+STEPS = 1500  # of the optimiser, whatever the sample's size
+BATCH = 64
 SEED = 7
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -101,19 +102,18 @@ class Network:
             g[f"w{w}"] = gw
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 4e-3, seed: int = SEED) -> Network:
-        rng, t = np.random.default_rng(seed), 0
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 4e-3, seed: int = SEED) -> Network:
+        rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for epoch in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                t += 1
-                own = order[lo : lo + batch]
-                for k, g in self.step(x[own], y[own]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] -= (rate * 0.6**epoch) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+        for t in range(1, steps + 1):
+            while len(order) < BATCH:
+                order = np.concatenate([order, rng.permutation(len(x))])
+            own, order = order[:BATCH], order[BATCH:]
+            for k, g in self.step(x[own], y[own]).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.99 * v[k] + 0.01 * g * g
+                self.p[k] -= rate * 0.05 ** (t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
         return self
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
@@ -166,7 +166,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int64()))], names=WINDOWS.names)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Network | None:
+def train(labelled: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Network | None:
     """Fit on at most ``sample`` windows of (text, lang) rows with both present."""
     fit = labelled.where("text is not null and lang is not null").select("text", "lang")
     # every text has a window or more; hashes beyond this share of their range cannot be among the smallest, and need not travel
@@ -178,7 +178,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Ne
         return None
     x = np.frombuffer(b"".join(bytes(r["window"]) for r in got), np.uint8).reshape(-1, LENGTH)
     y = np.array([classes.index(r["lang"]) for r in got])
-    return Network(classes).fit(x, y, epochs)
+    return Network(classes).fit(x, y, steps)
 
 
 def _has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -17,7 +17,8 @@ blocks of ``BLOCK`` classes by a hash of the class, and its probes in blocks of
 Defined results: vectors null, zero, of another length than the first usable
 one's, or holding null or non-finite components take no part.  Null ids take no
 part.  Rows repeating an id count once, with the vector whose bytes sort first,
-and a query's own id is never its neighbour.  Fewer than k candidates give them all.
+and a query's own id is never its neighbour.  Fewer than k candidates give them
+all: a query whose buckets hold too few is searched exactly, in blocks.
 Empty tables give no rows.  Other columns are ignored.
 """
 
@@ -192,7 +193,8 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = K, tables: int = TAB
     query_blocks = max(1, -(-asks.count() * probes // (2 * hashes.size * PROBE_BLOCK)))
     entries = classes.mapInArrow(_emit(hashes, probes, blocks, query_blocks, False), ENTRY).unionByName(asks.mapInArrow(_emit(hashes, probes, blocks, query_blocks, True), ENTRY))
     found = entries.groupBy("bucket", "i", "j").applyInArrow(_rerank(first, k), FOUND)
-    found = found.groupBy("query_id", "class").agg(F.max("score").alias("score"))
+    found = materialise(found.groupBy("query_id", "class").agg(F.max("score").alias("score")), "found")
+    found = found.unionByName(_rest(found, asks, classes, first, k)).groupBy("query_id", "class").agg(F.max("score").alias("score"))
     top = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= k + 1).drop("r")
     # a class's smallest k + 1 ids: no more of them can be among the k nearest of one query
     part = Window.partitionBy("class", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
@@ -203,6 +205,19 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = K, tables: int = TAB
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("asker").alias("query_id"), "rank", "vec_id", "score")
 
 
+def _rest(found: DataFrame, asks: DataFrame, classes: DataFrame, dim: int, k: int) -> DataFrame:
+    """Exact search, in blocks of all classes, for queries whose buckets hold fewer than k others although there are more."""
+    total = classes.count()
+    n = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    short = materialise(asks.join(n, "id", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, total)).select("id", "vector"), "short")
+    if short.isEmpty():
+        return found.limit(0)
+    count = -(-total // BLOCK)
+    row = lambda i, query: [F.lit(-1).alias("bucket"), i.cast("int").alias("i"), F.lit(0).alias("j"), F.lit(query).alias("query"), "id", "vector"]
+    entries = classes.select(*row(F.pmod(F.xxhash64("id"), F.lit(count)), False)).unionByName(short.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(*row(F.col("i"), True)))
+    return entries.groupBy("bucket", "i", "j").applyInArrow(_rerank(dim, k), FOUND)
+
+
 def _members(keyed: DataFrame) -> DataFrame:
     """(class, id): equal vectors' class is their smallest id; the digest stands for the vector."""
     rep = keyed.groupBy("digest").agg(F.min("id").alias("class"))
