@@ -35,9 +35,8 @@ def hsv(r="r", g="g", b="b") -> dict[str, Column]:
     delta = top - low
     safe = F.when(delta == 0, 1.0).otherwise(delta)
     sixth = F.when(top == r, (g - b) / safe).when(top == g, 2.0 + (b - r) / safe).otherwise(4.0 + (r - g) / safe)
-    turned = sixth / 6.0
     return {
-        "h": F.when(delta == 0, 0.0).otherwise(turned - F.floor(turned)),
+        "h": F.when(delta == 0, 0.0).otherwise(F.pmod(sixth / 6.0, F.lit(1.0))),
         "s": F.when(top == 0, 0.0).otherwise(delta / F.when(top == 0, 1.0).otherwise(top)),
         "v": top,
     }
