@@ -81,3 +81,33 @@ def split(chips_: DataFrame, fraction: float = CONFIG.val_fraction) -> DataFrame
 def with_tiles(instances: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(instances whose tile is there, stems without a tile)."""
     return instances.join(tiles.select("stem"), "stem", "left_semi"), instances.select("stem").distinct().join(tiles.select("stem"), "stem", "left_anti")
+
+
+def merged_names(exports: DataFrame) -> DataFrame:
+    """(class_id, name) of several exports (export, class_id, name): the last export that names a class counts."""
+    return exports.groupBy("class_id").agg(F.max_by("name", "export").alias("name"))
+
+
+def yaml(names: DataFrame) -> str:
+    """The description of a dataset; its classes are a handful of rows."""
+    rows = names.orderBy("class_id").collect()
+    return "\n".join(["path: .", "train: split=train", "val: split=val", "names:", *[f"  {r['class_id']}: {r['name']}" for r in rows], ""])
+
+
+def export(lines: DataFrame, names: DataFrame, tiles: DataFrame, path: str, size: int = CONFIG.chip_px, overlap: int = CONFIG.chip_overlap_px) -> tuple[DataFrame, DataFrame]:
+    """Writes label files by split and chip, and the description; (chips with their split and number of instances, stems without a tile).
+
+    Only chips that hold an instance are written and split.
+    """
+    from corridor.operators import report
+    from corridor.sources import store
+
+    instances, missing = with_tiles(parse(lines), tiles)
+    placed = instances.join(tiles, "stem")
+    placed = placed.withColumn("xy", F.transform("xy", lambda p: F.struct((p["x"] * F.col("width")).alias("x"), (p["y"] * F.col("height")).alias("y")))).drop("width", "height")
+    grid = chips(tiles, size, overlap)
+    labels = store.materialise(clip(by_chip(placed, grid, size)), "labels")
+    parts = store.materialise(split(labels.select("stem", "chip")), "split")
+    store.save_chips(labels, parts, f"{path}/labels")
+    report.save(yaml(names), lines.sparkSession, f"{path}/dataset")
+    return labels.groupBy("chip").agg(F.count(F.lit(1)).alias("n")).join(parts, "chip"), missing

@@ -61,12 +61,25 @@ def train_val_split(spark, sf_dir):
     return dataset.split(chip_grid(spark, sf_dir))
 
 
+def dataset_export(spark, sf_dir):
+    """Label files written and read again: lines by split."""
+    import uuid
+
+    from corridor.sources import store
+
+    path = f"{store.shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    names = spark.createDataFrame([(0, "Bikelane"), (1, "bikeoverroad")], "class_id int, name string")
+    dataset.export(load(spark, sf_dir, "annotations"), names, tiles(spark, sf_dir), path)
+    back = spark.read.text(f"{path}/labels")
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chip").alias("chips"))
+
+
 _T = f"{A}, tiles AS ({TILES.replace('{annotations}', 'annotations')})"
 _I = f"""{_T}, p AS (SELECT stem, line_no, string_split(trim(line), ' ') AS v FROM annotations WHERE trim(line) <> ''),
     i AS (SELECT stem, line_no, v[1]::INT AS class_id, list_transform(v[2:], lambda x: x::DOUBLE) AS v FROM p WHERE len(v) >= 7)"""
 _C = """chips AS (SELECT stem, printf('%s_%05d_%05d', stem, x0::INT, y0::INT) AS chip, x0::INT AS x0, y0::INT AS y0, least(640, width - x0)::INT AS w, least(640, height - y0)::INT AS h
     FROM (SELECT *, unnest(range(0, height, 576)) AS y0 FROM (SELECT *, unnest(range(0, width, 576)) AS x0 FROM tiles)))"""
-QUERIES = {f.__name__: f for f in (label_parse, missing_tiles, class_counts, chip_grid, chip_instances_bbox, chip_labels, chip_areas, train_val_split)}
+QUERIES = {f.__name__: f for f in (label_parse, missing_tiles, class_counts, chip_grid, chip_instances_bbox, chip_labels, chip_areas, train_val_split, dataset_export)}
 ORACLES = {
     "label_parse": f"{_I} SELECT stem, line_no, class_id, len(v)::INT // 2 AS n, " + ", ".join(f"round(v[{2 * k + j + 1}], 6) AS {a}{k}" for k in range(3) for j, a in enumerate("xy")) + " FROM i",
     "missing_tiles": f"{_I} SELECT DISTINCT stem FROM i WHERE stem NOT IN (SELECT stem FROM tiles)",

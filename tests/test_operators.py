@@ -184,3 +184,12 @@ def test_unresolved_and_off(spark):
     rows = sections.measure_gaps(px, lanes, roads, (0.1, -0.1, 0.0, 6.0), "t", 60, 60, c=CONFIG).collect()
     # beyond 6 m the tile ends; inside it no lane mask holds the lane's line
     assert {(r["k"], r["skip"]) for r in rows} == {(0, "unresolved"), (1, "unresolved"), (2, "unresolved"), (3, "off"), (4, "off")}
+
+
+def test_export(spark, tmp_path):
+    lines = spark.createDataFrame([("a", 1, "0 0.1 0.1 0.5 0.1 0.5 0.9"), ("z", 1, "0 0 0 1 0 1 1")], "stem string, line_no long, line string")
+    names = dataset.merged_names(spark.createDataFrame([("e1", 0, "old"), ("e2", 0, "lane")], "export string, class_id int, name string"))
+    tiles = spark.createDataFrame([("a", 1000, 700)], "stem string, width int, height int")
+    chips, missing = dataset.export(lines, names, tiles, str(tmp_path))
+    assert [r["stem"] for r in missing.collect()] == ["z"] and sum(r["n"] for r in chips.collect()) == spark.read.text(str(tmp_path / "labels")).count()
+    assert "  0: lane" in [r[0] for r in spark.read.text(str(tmp_path / "dataset")).collect()]
