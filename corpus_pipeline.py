@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences; one row for each piece."""
     _spark.small_batches(spark)
-    return op08_packing.pack(docs, op08_packing.default_tokenizer())
+    return op08_packing.pack(docs, op08_packing.default_tokenizer(), keep_words=False)
 
 
 STAGES = [

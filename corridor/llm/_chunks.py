@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import materialise
+from ._spark import lean, materialise
 
 CHUNK_BYTES = 2 << 20
 CHUNK_DOCS = 60_000
@@ -75,7 +75,7 @@ def make(docs: DataFrame, tag: str, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield close()
 
-    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CHUNKS), tag)
+    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), CHUNKS), tag)
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []  # tables of this session that are still there
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
@@ -32,11 +41,44 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _made.append(path)
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """A table of what ``make`` gives; the tables that it made on the way, and its shuffles, go."""
+    before = len(_made)
+    out = materialise(make(), tag)
+    for path in _made[before:-1]:
+        p, fs = _hadoop(spark, path)
+        fs.delete(p, True)
+    del _made[before:-1]
+    release()
+    return out
+
+
+def lean(run: Callable) -> Callable:
+    """A function on batches after which the worker gives freed memory back: idle workers stay alive between stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its own counsel
+                pass
+
+    return wrapped
+
+
 def release() -> None:
     """Drop Python's dead handles so that Spark may clean the shuffle files behind them."""
     import gc

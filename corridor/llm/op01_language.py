@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import table
+from ._spark import lean, table
 
 LENGTH = 256  # bytes of a window
 WIDTHS = (2, 3, 4)
@@ -171,7 +171,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Netw
     fit = labelled.where("text is not null and lang is not null").select("text", "lang")
     # every text has a window or more; hashes beyond this share of their range cannot be among the smallest, and need not travel
     least = int(2**63 * min(1.0, 2 * sample / max(1, fit.count()))) - 1
-    rows = fit.mapInArrow(_sample, WINDOWS).where(F.col("order") <= least)
+    rows = fit.mapInArrow(lean(_sample), WINDOWS).where(F.col("order") <= least)
     got = rows.orderBy("order", "lang", "window").limit(sample).collect()
     classes = sorted({r["lang"] for r in got})
     if not classes:
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 lang, score = classify(net, tables, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], names=PREDICTIONS.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PREDICTIONS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), PREDICTIONS)
 
 
 def accept(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
@@ -237,7 +237,7 @@ def accept(docs: DataFrame, network: Network | None, text_col: str = "text") ->
                 lang, _ = classify(net, tables, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield batch.slice(lo, hi - lo).filter(pa.array(lang != "und"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fold(id_col: str = "doc_id") -> F.Column:

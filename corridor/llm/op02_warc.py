@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import materialise, table
+from ._spark import lean, materialise, table
 
 DEDUP_BYTES = 1000  # smaller payloads are never revisits
 ARCHIVE_BYTES = 1 << 20  # an archive is closed when it holds this much
@@ -256,11 +256,11 @@ def with_references(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
 
 def pages_to_warc(pages: DataFrame) -> DataFrame:
     """A table of archives (name, version of the ARC file it came from, content)."""
-    return materialise(with_references(pages).mapInArrow(_write, ARCHIVES), "warc")
+    return materialise(with_references(pages).mapInArrow(lean(_write), ARCHIVES), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    return archives.select("content").mapInArrow(_read, RECORDS)
+    return archives.select("content").mapInArrow(lean(_read), RECORDS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

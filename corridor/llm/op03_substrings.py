@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import _chunks as C
 from . import _text
-from ._spark import materialise, release, table
+from ._spark import lean, materialise, release, table
 
 MIN_WORDS = 13
 FIRST = 8
@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         np.subtract.at(cover, hit + min_words, 1)
         return _result(w, np.cumsum(cover[:-1]) > 0)
 
-    sent = chunks.mapInArrow(begin, C.SENT)
+    sent = chunks.mapInArrow(lean(begin), C.SENT)
     state = None
     for k in range(last):
         reply = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeated, C.SENT)

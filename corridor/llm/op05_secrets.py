@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialise, table
+from ._spark import materialise, settle, table
 
 
 @dataclass(frozen=True)
@@ -144,9 +144,10 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows in whose text no rule finds anything, with all their columns."""
     found, _ = update(docs.select(F.col(id_col).cast("long").alias("path"), F.col(text_col).alias("text")))
-    blobs = materialise(found.select("blob").distinct(), "findings")
+    blobs = settle(docs.sparkSession, lambda: found.select("blob").distinct(), "findings")
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    return docs.join(blobs, blob == blobs["blob"], "left_anti")
+    # merged, not broadcast: the findings grow with the documents, and the plan is the same at every size
+    return docs.join(blobs.hint("merge"), blob == blobs["blob"], "left_anti")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

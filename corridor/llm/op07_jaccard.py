@@ -12,7 +12,7 @@ and the shingle's position.  Not all pairs of a list are tried:
 * answer skipping: in each list one class is the pivot, the one that comes
   first in an order common to all lists, and the others are verified against it
   alone.  Classes found linked are one component, and lists within one component
-  are done.  Rounds with different orders leave few lists open.
+  are done, which leaves few lists open.
 * what remains are pairs of different components in an open list.  List entries
   too far apart by size or position are skipped.  The overlaps already computed
   with a common pivot p bound the new one: |x & y| <= min(|x & p|, |y & p|) +
@@ -44,11 +44,11 @@ from pyspark.sql import types as T
 
 from . import _chunks as C
 from . import _text
-from ._spark import materialise, release, table
+from ._spark import lean, materialise, release, settle, table
 
 WORDS = 4
 PERCENT = 85
-ORDERS = 3  # rounds of pivots
+ORDERS = 1  # rounds of pivots; each further one tries another order
 NO_ID = np.iinfo(np.int64).max
 
 SETS = "node long, doc_id long, n long, d1 long, d2 long"
@@ -199,9 +199,21 @@ def components(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
             return label
 
 
+def merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only components that a link joins are gone over."""
+    ends = [label.select(F.col("node").alias(e), F.col("comp").alias(f"c{e}")) for e in ("a", "b")]
+    joins = links.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    joins = materialise(joins, "joins")
+    if joins.isEmpty():
+        return label
+    nodes = joins.select(F.col("a").alias("node")).union(joins.select("b")).distinct()
+    root = components(nodes, joins, "labels").select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return materialise(label.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+
+
 def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(every row's node, doc_id and class; every class's component)."""
-    described = materialise(chunks.mapInArrow(_describe(k), SETS), "sets")
+    described = materialise(chunks.mapInArrow(lean(_describe(k)), SETS), "sets")
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "node"))["node"].alias("class")
     classes = materialise(described.where("n > 0").groupBy("n", "d1", "d2").agg(best), "classes")
     reps = classes.select((F.shiftright("class", 17)).alias("chunk"), (F.col("class") % (1 << 17)).alias("place"))
@@ -217,7 +229,8 @@ def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     index = alive.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), (size - F.col("unique")).cast("int"))).alias("pos", "token"), "unique", "sketch")
     index = materialise(index.select("token", "node", "n", (F.col("pos") + F.col("unique")).alias("pos"), (F.col("unique") / F.col("n")).alias("alone"), "sketch"), "index")
     label = alive.select("node", F.col("node").alias("comp"))
-    tested = links = None
+    linked = lambda got: got.where(F.col("overlap") >= need(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    tested = None
     for order in range(ORDERS):
         # first the class with the smallest share of shingles of its own: the middle of a group of copies
         rank = F.col("alone") if order == 0 else F.xxhash64("node", F.lit(order)).cast("double")
@@ -229,14 +242,10 @@ def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         got = materialise(verify(pairs, alive), "verified")
         tested = got if tested is None else tested.unionByName(got)
-        links = tested.where(F.col("overlap") >= need(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        label = components(alive.select("node"), links, "labels")
+        label = merge(label, linked(got))
         release()
     rest = _open_pairs(index.drop("alone"), label, tested, percent)
-    got = materialise(verify(rest, alive), "verified")
-    more = got.where(F.col("overlap") >= need(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    if not more.isEmpty():
-        label = components(alive.select("node"), links.unionByName(more), "labels")
+    label = merge(label, linked(materialise(verify(rest, alive), "verified")))
     comp = classes.join(label.withColumnRenamed("node", "class"), "class", "left").select("n", "d1", "d2", F.coalesce("comp", "class").alias("comp"))
     return described, comp
 
@@ -283,8 +292,9 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str
 
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One document of each group, the one with the smallest id; rows without an id stay."""
-    g = groups(docs, k, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(g, "doc_id", "left_anti").select(*docs.columns)
+    gone = settle(docs.sparkSession, lambda: groups(docs, k, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # merged, not broadcast: the list grows with the documents, and the plan is the same at every size
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._spark import table
+from ._spark import lean, table
 
 WINDOW = 1024
 END_ID = 0
@@ -230,13 +230,19 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, text_col: s
     yield flush()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per piece; ``sequence_id`` is unique over all tasks."""
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", keep_words: bool = True) -> DataFrame:
+    """One row per piece; ``sequence_id`` is unique over all tasks.
+
+    Without ``keep_words`` a worker forgets the words of a task at its end: slower,
+    but nothing of it stays in memory for the stages that follow.
+    """
 
     def run(batches):
-        return _pack(batches, tokenizer_path, window, "text", "doc_id")
+        yield from _pack(batches, tokenizer_path, window, "text", "doc_id")
+        if not keep_words:
+            _kept.clear()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(lean(run), SCHEMA)
 
 
 def default_tokenizer() -> str:
