@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import table
+from ._spark import lean, table
 
 Q = 8
 WINDOW = 100
 RATE = 0.08
 BLOCK_ITEMS = 20_000
 _FILTER_BITS = 20
+_CELL_BITS = 17
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -64,8 +66,9 @@ def fold(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = ~(blank[1:] & blank[:-1])
     inner = offs[:-1][offs[:-1] < len(x)]
     keep[inner] = ~blank[inner]  # no blank at the start of a document
-    total = np.concatenate([[0], np.cumsum(keep)])
-    return x[keep], total[offs]
+    total = np.zeros(len(x) + 1, np.int32 if len(x) < 2**31 else np.int64)
+    np.cumsum(keep, out=total[1:])
+    return x[keep], total[offs].astype(np.int64)
 
 
 def grams(x: np.ndarray) -> np.ndarray:
@@ -81,7 +84,9 @@ def grams(x: np.ndarray) -> np.ndarray:
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
-    return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    h = g * np.uint64(0x9E3779B97F4A7C15)
+    h >>= np.uint64(64 - _FILTER_BITS)
+    return h.view(np.int64)
 
 
 @dataclass
@@ -103,6 +108,11 @@ class Index:
     def size(self) -> int:
         return len(self.text)
 
+    @cached_property
+    def reach(self) -> np.ndarray:
+        """Characters that a window with its budget of edits may take."""
+        return np.array([len(t) for t in self.text]) + self.edits
+
 
 def build(items: list[tuple], window: int = WINDOW, rate: float = RATE) -> Index | None:
     ids, text, owner = [], [], []
@@ -155,16 +165,18 @@ def search(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int,
     like = ix.slots[_slot(g)]
     # a region holds `need` hits in m + e - q + 1 places: keep only places in regions dense enough for the least demanding window
     span = int(max(len(t) for t in ix.text) + ix.edits.max())
-    total = np.zeros(len(g) + 1, np.int32)
-    np.cumsum(like, out=total[1:])
-    ends = np.minimum(np.arange(len(g)) + span, len(g))
-    dense = np.flatnonzero(total[ends] - total[:-1] >= ix.need.min())
+    total = np.zeros(len(g) + span, np.int32)
+    np.cumsum(like, out=total[1 : len(g) + 1])
+    total[len(g) + 1 :] = total[len(g)]
+    dense = np.flatnonzero(total[span:] - total[: len(g)] >= ix.need.min())
     if not len(dense):
         return
-    cover = np.zeros(len(g) + 1, np.int32)
-    np.add.at(cover, dense, 1)
-    np.subtract.at(cover, ends[dense], 1)
-    at = np.flatnonzero(like & (np.cumsum(cover[:-1]) > 0))
+    # the places that dense regions cover: runs of starts less than a region apart are one
+    new = np.flatnonzero(np.diff(dense, prepend=-span - 1) > span)
+    first, last = dense[new], np.append(dense[new[1:] - 1], dense[-1]) + span
+    hits = np.flatnonzero(like)
+    run = np.searchsorted(first, hits, "right") - 1
+    at = hits[(run >= 0) & (hits < last[np.maximum(run, 0)])]
     place = np.searchsorted(ix.codes, g[at])
     place[place == len(ix.codes)] = 0
     same = ix.codes[place] == g[at]
@@ -195,22 +207,23 @@ def _regions(ix: Index, x, offs, at, place, doc) -> Iterator[tuple[int, int, int
         sizes = ix.at[pl + 1] - ix.at[pl]
         ends = np.cumsum(sizes)
         src = np.repeat(ix.at[pl] - ends + sizes, sizes) + np.arange(int(ends[-1]))
-        pos, d = np.repeat(at[lo:hi], sizes), np.repeat(doc[lo:hi], sizes)
-        win = ix.window[src]
+        pos, win = np.repeat(at[lo:hi], sizes), ix.window[src]
         diag = pos - ix.pos[src] + WINDOW  # not negative
-        need, width = ix.need[win], 2 * (ix.edits[win] + 1)
+        half = (ix.edits + 1)[win]
         kept = []
         for shift in (0, 1):
-            band = (diag + shift * (width // 2)) // width
-            key = (win.astype(np.int64) << 40) | band
-            order = np.argsort(key, kind="stable")  # places stay in order inside a band
-            k, p, n, dd, ww = key[order], pos[order], need[order], d[order], win[order]
-            last = np.arange(len(k)) + n - 1
+            key = (win << 40) | (diag + shift * half) // (2 * half)
+            # hits by hashed band: a band cannot have more than its cell, so most hits end here, unsorted
+            cell = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)).view(np.int64)
+            many = np.flatnonzero(np.bincount(cell, minlength=1 << _CELL_BITS)[cell] >= ix.need[win])
+            many = many[np.argsort(key[many], kind="stable")]  # places stay in order inside a band
+            k, p, ww = key[many], pos[many], win[many]
+            dd, width = np.searchsorted(offs, p, "right") - 1, 2 * half[many]
+            last = np.arange(len(k)) + ix.need[ww] - 1
             ok = last < len(k)
             last[~ok] = 0
-            reach = np.array([len(t) for t in ix.text])[ww] + ix.edits[ww]
-            ok &= (k[last] == k) & (dd[last] == dd) & (p[last] - p < reach)
-            kept.append(np.stack([dd[ok], ww[ok], (k[ok] & ((1 << 40) - 1)) * width[order][ok] - shift * (width[order][ok] // 2) - WINDOW, width[order][ok]], 1))
+            ok &= (k[last] == k) & (dd[last] == dd) & (p[last] - p < ix.reach[ww])
+            kept.append(np.stack([dd[ok], ww[ok], (k[ok] & ((1 << 40) - 1)) * width[ok] - shift * (width[ok] // 2) - WINDOW, width[ok]], 1))
         cand = np.unique(np.concatenate(kept), axis=0)
         for w in np.unique(cand[:, 1]):
             mine = cand[cand[:, 1] == w]
@@ -259,7 +272,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         found.append((ids[lo + d].as_py(), ix.ids[item], n, e))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 4)], names=HITS.names)
 
-        part = rows.mapInArrow(run, HITS)
+        part = rows.mapInArrow(lean(run), HITS)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], HITS) if out is None else out
 
@@ -280,7 +293,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                         keep[lo + d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 
