@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import table
+from ._spark import lean, table
 
 SAMPLE = 12_000
 BITS = 17
 EPOCHS = 12
-SCREEN = 5.0
+SCREEN = 7.0
 TAIL = 1  # the tail is P(grade >= TAIL)
-KEEP = 0.7  # documents with a tail of at least this are kept
+KEEP = 0.8  # documents with a tail of at least this are kept
 SEED = 3
 
 FEATURES = T.StructType([T.StructField("grade", T.IntegerType()), T.StructField("index", T.BinaryType()), T.StructField("value", T.BinaryType())])
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("label_id"), grade().alias("grade"), order.alias("o"))
     chosen = chosen.orderBy("o", "label_id", "grade").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    got = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "grade").mapInArrow(_extract, FEATURES).collect()
+    got = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "grade").mapInArrow(lean(_extract), FEATURES).collect()
     rows = sorted((r["grade"], bytes(r["index"]), bytes(r["value"])) for r in got)
     if not rows:
         return None
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model | None, tail: int = TAIL, id_col: str =
                 expected, above = m.scores(np.bincount(d, weights=m.weights[f] * v, minlength=n), tail)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(expected), pa.array(above)], names=SCORES.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCORES)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
