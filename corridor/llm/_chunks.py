@@ -23,7 +23,7 @@ from ._spark import lean, materialise
 
 CHUNK_BYTES = 2 << 20
 CHUNK_DOCS = 60_000
-BUCKET_KEYS = 4_000_000  # keys a bucket's task should get
+BUCKET_KEYS = 1_000_000  # keys a bucket's task should get
 
 CHUNKS = "chunk long, n_docs int, n_bytes long, ids binary, sizes binary, texts binary"
 SENT = "chunk long, bucket int, blob binary"
@@ -75,7 +75,7 @@ def make(docs: DataFrame, tag: str, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield close()
 
-    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), CHUNKS), tag)
+    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), CHUNKS), tag, "uncompressed")
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,14 +33,16 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Cuts the lineage; the table outlives a lost executor and goes with the JVM.
+    Snappy is not used: its codec takes buffers as large as a page outside the heap,
+    which stay until the heap is collected, and pages of large binaries are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _made.append(path)
     p, fs = _hadoop(spark, path)
     fs.deleteOnExit(p)

@@ -256,7 +256,7 @@ def with_references(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
 
 def pages_to_warc(pages: DataFrame) -> DataFrame:
     """A table of archives (name, version of the ARC file it came from, content)."""
-    return materialise(with_references(pages).mapInArrow(lean(_write), ARCHIVES), "warc")
+    return materialise(with_references(pages).mapInArrow(lean(_write), ARCHIVES), "warc", "uncompressed")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

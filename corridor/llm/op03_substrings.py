@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     for k in range(last):
         reply = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeated, C.SENT)
         none = reply.limit(0) if state is None else state
-        sent = materialise(C.by_chunk(chunks, none, reply).groupBy("chunk").applyInArrow(advance(k), C.SENT), "windows")
+        sent = materialise(C.by_chunk(chunks, none, reply).groupBy("chunk").applyInArrow(advance(k), C.SENT), "windows", "uncompressed")
         state = sent.where("bucket < 0")
         release()
     reply = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_earlier, C.SENT)
