@@ -56,7 +56,7 @@ def run_label(spark, sf_dir):
 
 
 def run_containing(spark, sf_dir):
-    points = profile(spark, sf_dir).select("section_id", (F.col("i") * F.lit(0.05) * 2).alias("at_m")).where("at_m < 2")
+    points = profile(spark, sf_dir).select("section_id", (F.col("i") * F.lit(0.05) * 2).alias("at_m"))
     out = series.run_at(runs(spark, sf_dir), points)
     return out.select("section_id", F.round("at_m", 6).alias("at_m"), "run_id", "label")
 
@@ -64,7 +64,7 @@ def run_containing(spark, sf_dir):
 def _strips(spark, sf_dir):
     r = F.struct("start_m", "end_m", "label")
     rows = runs(spark, sf_dir).withColumn("label", F.when(F.col("shadow_fraction") >= 0.75, "unknown (shadow)").otherwise(F.col("label")))
-    return rows.where("run_id <= 12").groupBy("section_id").agg(F.array_sort(F.collect_list(r)).alias("runs"), F.min("start_m").alias("lo"), F.max("end_m").alias("hi"))
+    return rows.groupBy("section_id").agg(F.array_sort(F.collect_list(r)).alias("runs"), F.min("start_m").alias("lo"), F.max("end_m").alias("hi"))
 
 
 def widest_run_between(spark, sf_dir):
