@@ -1,12 +1,15 @@
 """Operator 10: benchmark passages found by the q-gram lemma and banded alignment.
 
-Benchmark items are cut into windows of ``WINDOW`` characters (overlapping by
-half; a shorter item is one window).  A window of length m found with at most
-e = floor(RATE * m) edits shares at least m + 1 - q * (e + 1) q-grams with the
-text, all of them on at most e + 1 neighbouring diagonals.  So q-gram hits are
-counted in overlapping diagonal bands of 2 (e + 1), regions with too few hits
-are dropped, and what remains is aligned inside its band; only alignments
-within the budget count.
+A passage is any ``WINDOW`` folded characters of a benchmark item, wherever in it
+they start (the whole item if it is shorter), and it is found with at most
+e = floor(RATE * m) edits, m being its length.  Such a window shares at least
+m + 1 - q * (e + 1) q-grams with the text, all of them on at most e + 1
+neighbouring diagonals.  So hits of an item's q-grams are counted in overlapping
+diagonal bands of 2 (e + 1), the windows with enough hits in a band are
+candidates, and each is aligned inside its band; only alignments within the
+budget count.  So a verbatim quote of WINDOW - e = 92 folded characters is always
+found, and a shorter one of an item of at least WINDOW characters only where more
+of the text happens to agree.
 
 Texts are compared in a folded form: A-Z in lower case, ASCII punctuation and
 white space as one blank.  The benchmark is the stated query set: it is taken
@@ -52,7 +55,7 @@ HITS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("item_id", T.LongType()),
-        T.StructField("windows", T.LongType()),
+        T.StructField("windows", T.LongType()),  # starts in the item whose windows are found
         T.StructField("edits", T.LongType()),
     ]
 )
@@ -91,69 +94,79 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of a block of items and where each q-gram stands in them."""
+    """A block of items and where each q-gram stands in them."""
 
     ids: list
-    text: list[np.ndarray]  # folded windows
-    owner: np.ndarray  # window -> item
+    body: np.ndarray  # the folded items one after the other
+    base: np.ndarray  # where each begins
+    sizes: np.ndarray
+    length: np.ndarray  # of an item's windows
     edits: np.ndarray
     need: np.ndarray
     codes: np.ndarray  # sorted q-grams
-    at: np.ndarray  # codes' ranges in window/pos
-    window: np.ndarray
+    at: np.ndarray  # codes' ranges in item/pos
+    item: np.ndarray
     pos: np.ndarray
     slots: np.ndarray
 
-    @property
-    def size(self) -> int:
-        return len(self.text)
-
     @cached_property
-    def reach(self) -> np.ndarray:
-        """Characters that a window with its budget of edits may take."""
-        return np.array([len(t) for t in self.text]) + self.edits
+    def text(self) -> list[np.ndarray]:
+        """Every window."""
+        return [self.body[b + s : b + s + m] for b, n, m in zip(self.base, self.sizes, self.length) for s in range(n - m + 1)]
 
 
 def build(items: list[tuple], window: int = WINDOW, rate: float = RATE) -> Index | None:
-    ids, text, owner = [], [], []
-    for k, (item, body) in enumerate(items):
-        ids.append(item)
+    ids, text = [], []
+    for item, body in items:
         raw = np.frombuffer((body or "").encode(), np.uint8)
         x, _ = fold(raw, np.array([0, len(raw)]))
         x = x[:-1] if len(x) and x[-1] == 32 else x
-        if len(x) < Q:
-            continue
-        starts = [0] if len(x) <= window else [*range(0, len(x) - window, window // 2), len(x) - window]
-        for s in starts:
-            text.append(x[s : s + window])
-            owner.append(k)
+        if len(x) >= Q:
+            ids.append(item)
+            text.append(x)
     if not text:
         return None
-    lengths = np.array([len(x) for x in text])
+    sizes = np.array([len(x) for x in text])
+    lengths = np.minimum(sizes, window)
     # the largest budget, up to the rate, that leaves the lemma something to count
     edits = np.minimum((rate * lengths).astype(int), np.maximum(0, (lengths + 1) // Q - 2))
     need = np.maximum(1, lengths + 1 - Q * (edits + 1))
     g = np.concatenate([grams(x) for x in text])
-    w = np.repeat(np.arange(len(text)), lengths - Q + 1)
-    p = np.concatenate([np.arange(n - Q + 1) for n in lengths])
+    w = np.repeat(np.arange(len(text)), sizes - Q + 1)
+    p = np.concatenate([np.arange(n - Q + 1) for n in sizes])
     order = np.argsort(g, kind="stable")
     codes, first = np.unique(g[order], return_index=True)
     slots = np.zeros(1 << _FILTER_BITS, bool)
     slots[_slot(codes)] = True
-    return Index(ids, text, np.array(owner), edits, need, codes, np.append(first, len(g)), w[order], p[order], slots)
+    return Index(ids, np.concatenate(text), np.cumsum(sizes) - sizes, sizes, lengths, edits, need, codes, np.append(first, len(g)), w[order], p[order], slots)
+
+
+def banded(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Least edits of each row of ``patterns`` against any part of that row of ``texts``, on its diagonals.
+
+    With m and m + d columns the d diagonals are those that begin in the first d characters.
+    """
+    rows, m = patterns.shape
+    width = texts.shape[1] - m
+    p, t = np.ascontiguousarray(patterns.T), np.ascontiguousarray(texts.T)
+    step = np.arange(width, dtype=np.int16)[:, None]
+    prev = np.zeros((width, rows), np.int16)
+    for i in range(m):
+        cur = prev + (t[i : i + width] != p[i])
+        np.minimum(cur[:-1], prev[1:] + 1, out=cur[:-1])
+        cur -= step
+        for d in range(1, width):
+            np.minimum(cur[d], cur[d - 1], out=cur[d])
+        cur += step
+        prev = cur
+    return prev.min(axis=0)
 
 
 def align(pattern: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Least edits of ``pattern`` against any part of each row of ``texts`` (255 pads)."""
-    rows, width = texts.shape
-    step = np.arange(width + 1, dtype=np.int32)
-    prev = np.zeros((rows, width + 1), np.int32)
-    for i, c in enumerate(pattern, 1):
-        cur = np.empty_like(prev)
-        cur[:, 0] = i
-        np.minimum(prev[:, :-1] + (texts != c), prev[:, 1:] + 1, out=cur[:, 1:])
-        prev = np.minimum.accumulate(cur - step, axis=1) + step
-    return prev.min(axis=1)
+    """Least edits of ``pattern`` against any part of each row of ``texts`` (255 pads), on all diagonals."""
+    rows, m = len(texts), len(pattern)
+    pad = np.full((rows, m), 255, np.uint8)
+    return banded(np.broadcast_to(pattern, (rows, m)), np.concatenate([pad, texts, pad], axis=1))
 
 
 def search(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -164,7 +177,7 @@ def search(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int,
         return
     like = ix.slots[_slot(g)]
     # a region holds `need` hits in m + e - q + 1 places: keep only places in regions dense enough for the least demanding window
-    span = int(max(len(t) for t in ix.text) + ix.edits.max())
+    span = int((ix.length + ix.edits).max())
     total = np.zeros(len(g) + span, np.int32)
     np.cumsum(like, out=total[1 : len(g) + 1])
     total[len(g) + 1 :] = total[len(g)]
@@ -190,7 +203,7 @@ def search(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int,
 
 
 def _regions(ix: Index, x, offs, at, place, doc) -> Iterator[tuple[int, int, int, int]]:
-    found: dict[tuple[int, int], dict[int, int]] = {}
+    shift_by = int(ix.sizes.max())  # makes diagonals not negative
     bounds = [0]
     many = np.cumsum(ix.at[place + 1] - ix.at[place])
     while bounds[-1] < len(at):  # at most about 2 million expanded hits at once, unless one document has more
@@ -207,39 +220,67 @@ def _regions(ix: Index, x, offs, at, place, doc) -> Iterator[tuple[int, int, int
         sizes = ix.at[pl + 1] - ix.at[pl]
         ends = np.cumsum(sizes)
         src = np.repeat(ix.at[pl] - ends + sizes, sizes) + np.arange(int(ends[-1]))
-        pos, win = np.repeat(at[lo:hi], sizes), ix.window[src]
-        diag = pos - ix.pos[src] + WINDOW  # not negative
-        half = (ix.edits + 1)[win]
+        pos, own, ipos = np.repeat(at[lo:hi], sizes), ix.item[src], ix.pos[src]
+        diag = pos - ipos + shift_by
+        half = (ix.edits + 1)[own]
         kept = []
         for shift in (0, 1):
-            key = (win << 40) | (diag + shift * half) // (2 * half)
+            key = (own << 40) | (diag + shift * half) // (2 * half)
             # hits by hashed band: a band cannot have more than its cell, so most hits end here, unsorted
             cell = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)).view(np.int64)
-            many = np.flatnonzero(np.bincount(cell, minlength=1 << _CELL_BITS)[cell] >= ix.need[win])
-            many = many[np.argsort(key[many], kind="stable")]  # places stay in order inside a band
-            k, p, ww = key[many], pos[many], win[many]
-            dd, width = np.searchsorted(offs, p, "right") - 1, 2 * half[many]
-            last = np.arange(len(k)) + ix.need[ww] - 1
+            many = np.flatnonzero(np.bincount(cell, minlength=1 << _CELL_BITS)[cell] >= ix.need[own])
+            if not len(many):
+                continue
+            k, ip = key[many], ipos[many]
+            dd = np.searchsorted(offs, pos[many], "right") - 1
+            order = np.lexsort((ip, dd, k))
+            k, ip, dd = k[order], ip[order], dd[order]
+            it = k >> 40
+            last = np.arange(len(k)) + ix.need[it] - 1
             ok = last < len(k)
             last[~ok] = 0
-            ok &= (k[last] == k) & (dd[last] == dd) & (p[last] - p < ix.reach[ww])
-            kept.append(np.stack([dd[ok], ww[ok], (k[ok] & ((1 << 40) - 1)) * width[ok] - shift * (width[ok] // 2) - WINDOW, width[ok]], 1))
-        cand = np.unique(np.concatenate(kept), axis=0)
-        for w in np.unique(cand[:, 1]):
-            mine = cand[cand[:, 1] == w]
-            e, m = int(ix.edits[w]), len(ix.text[w])
+            reach = ix.length[it] - Q  # from a window's first q-gram to its last
+            ok &= (k[last] == k) & (dd[last] == dd) & (ip[last] - ip <= reach)
+            k, dd, it = k[ok], dd[ok], it[ok]
+            # the windows that hold these hits start in a..b; both rise inside a band, so each start is taken once
+            a, b = np.maximum(ip[last[ok]] - reach[ok], 0), np.minimum(ip[ok], ix.sizes[it] - ix.length[it])
+            again = (k[1:] == k[:-1]) & (dd[1:] == dd[:-1])
+            a[1:] = np.where(again, np.maximum(a[1:], b[:-1] + 1), a[1:])
+            n = np.maximum(b - a + 1, 0)
+            starts = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            width = 2 * (ix.edits[it] + 1)
+            low = (k & ((1 << 40) - 1)) * width - shift * (width // 2) - shift_by
+            kept.append(np.stack([np.repeat(dd, n), np.repeat(it, n), starts, np.repeat(low, n)], 1))
+        if not kept:
+            continue
+        cand, least = np.concatenate(kept), []
+        cand = cand[np.argsort(ix.length[cand[:, 1]], kind="stable")]
+        length = ix.length[cand[:, 1]]
+        for m in np.unique(length):
+            mine = cand[length == m]
+            e = int(ix.edits[mine[0, 1]])
             for part in range(0, len(mine), 4096):
                 c = mine[part : part + 4096]
-                wide = m + 2 * e + int(c[0, 3])
-                take = (c[:, 2] - e)[:, None] + np.arange(wide)
+                pattern = ix.body[(ix.base[c[:, 1]] + c[:, 2])[:, None] + np.arange(m)]
+                take = (c[:, 2] + c[:, 3] - e)[:, None] + np.arange(m + 2 * (e + 1) + 2 * e)
                 inside = (take >= offs[c[:, 0]][:, None]) & (take < offs[c[:, 0] + 1][:, None])
-                text = np.where(inside, x[np.clip(take, 0, len(x) - 1)], 255)
-                least = align(ix.text[w], text)
-                for k in np.flatnonzero(least <= e):
-                    own = found.setdefault((int(c[k, 0]), int(ix.owner[w])), {})
-                    own[int(w)] = min(own.get(int(w), e), int(least[k]))
-    for (dk, item), own in found.items():
-        yield dk, item, len(own), min(own.values())
+                least.append(banded(pattern, np.where(inside, x[np.clip(take, 0, len(x) - 1)], 255)))
+        least = np.concatenate(least) if least else np.zeros(0, int)
+        good = least <= ix.edits[cand[:, 1]]
+        yield from _count(cand[good], least[good])
+
+
+def _count(cand: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, starts, least edits) of aligned candidates; a start may have been found in two bands."""
+    if not len(cand):
+        return
+    order = np.lexsort((cand[:, 2], cand[:, 1], cand[:, 0]))
+    cand, least = cand[order], least[order]
+    pair = np.append(True, (cand[1:, :2] != cand[:-1, :2]).any(axis=1))
+    fresh = pair | np.append(True, cand[1:, 2] != cand[:-1, 2])
+    first = np.flatnonzero(pair)
+    for (dk, item), n, e in zip(cand[first, :2], np.add.reduceat(fresh.astype(int), first), np.minimum.reduceat(least, first)):
+        yield int(dk), int(item), int(n), int(e)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_ITEMS) -> Iterator[Index]:
