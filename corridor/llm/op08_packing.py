@@ -47,6 +47,7 @@ SCHEMA = T.StructType(
 
 _TWO_WHITE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,7 +61,7 @@ class _Parts(dict):
     """Part of a text -> its ids as bytes.  ``blank`` stands before each part, or nothing does.
 
     A part of letters alone is one pre-token and goes straight to the BPE model;
-    a part closed by a comma or full stop, and one holding a lone line break
+    a part closed by a comma or full stop, and one holding lone line breaks
     between other characters, are put together from the ids of their pieces, as
     the pre-tokeniser cuts there too.  Everything else takes the whole tokenizer.
     """
@@ -76,9 +77,8 @@ class _Parts(dict):
         elif last in (".", ",") and key[:-1].isalpha():
             ids = self[key[:-1]] + owner.head[last]
         else:
-            before, line, after = key.partition("\n")
-            if line and before and after and not before[-1].isspace() and not after[0].isspace():
-                return self[before] + owner.line + owner.head[after]
+            if "\n" in key and len(lines := _LONE_BREAK.split(key)) > 1:
+                return owner.line.join([self[lines[0]], *map(owner.head.__getitem__, lines[1:])])
             ids = np.array(owner.tokenizer.encode(self.blank + key, add_special_tokens=False).ids, np.uint32).tobytes()
         if len(key) <= CACHE_CHARS:
             owner.held += 1

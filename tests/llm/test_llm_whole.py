@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from test_llm_edges import prose
+from test_llm_edges import docs_of, prose
+from test_llm_queries import plain_pieces
 
+from corridor.llm import op08_packing as o8
 from corridor.llm import op10_decontamination as o10
 
 
@@ -50,3 +52,13 @@ def test_windows_are_those_that_align():
             if len(mine):
                 want[d, k] = (len(mine), int(mine.min()))
     assert got == want and len(want) >= 4
+
+
+def test_packing_of_long_lists(spark):
+    """One token a line, thousands of lines, no blanks; and breaks that are not alone between them."""
+    rng = random.Random(14)
+    words = [prose(1, rng) + rng.choice(["", "", ",", ".", "7"]) for _ in range(6000)]
+    mixed = "".join(w + rng.choice(["\n", "\n", "\n", "\n\n", "\r\n", "\n\t", "\x1c\n"]) for w in words)
+    rows = [(1, "\n".join(words)), (2, "\n".join(words) + "\n"), (3, "\n" + "\n".join(words)), (4, mixed), (5, "a b\n" + mixed), (6, "\n".join(map(str, range(20_000)))), (7, "x\n<|endoftext|>\ny\nz")]
+    waste, _ = plain_pieces(o8.pack(docs_of(spark, rows), o8.default_tokenizer()).collect(), rows)
+    assert waste == 0
