@@ -2,7 +2,8 @@
 
 Every version of a path is addressed by the SHA-256 of its text.  Only (blob,
 rule, rule version) triples absent from the ledger are scanned, each blob once
-however many paths hold it, and findings are joined back to all paths.
+however many paths hold it.  The ledger keeps the spans found, and those of
+earlier runs are joined back to all paths together with the new ones.
 
 Positions come from one walk over the matches: the text is split at the rule's
 matches, and a running sum of piece and match lengths gives code point offsets.
@@ -100,14 +101,23 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def update(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new findings, new ledger rows) for (path, text) versions, given the ledger so far.
 
-    The ledger has a row for each scanned (blob, rule, version), found or not.
+    The ledger has a row for each scanned (blob, rule, version), found or not, and its spans.
     """
     v = address(versions.select("path", F.coalesce(F.col("text"), F.lit("")).alias("text")))
     due = unseen(v.select("blob", "path"), rules, ledger)
     chosen = v.join(due.withColumnRenamed("blob", "b"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("rep")))
     found = scan(chosen.select("blob", "text", "due"), rules).dropDuplicates(["blob", "rule", "version", "start", "stop"])
     new = due.select("blob", F.explode("due").alias("d")).select("blob", F.split("d", "/")[0].alias("rule"), F.split("d", "/")[1].cast("int").alias("version"))
-    return found, new
+    spans = found.groupBy("blob", "rule", "version").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return found, new.join(spans, ["blob", "rule", "version"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+
+
+def earlier(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What the ledger says that the rules, in their present versions, have found in these versions' blobs."""
+    blobs = address(versions).select("blob").distinct()
+    now = F.concat_ws("/", "rule", "version").isin(*[f"{r.name}/{r.version}" for r in rules])
+    rows = ledger.where(now).join(blobs, "blob", "left_semi").select("blob", "rule", "version", F.explode("spans").alias("s"))
+    return rows.select("blob", "rule", "version", "s.start", "s.stop").distinct()
 
 
 def summary(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -127,9 +137,11 @@ def summary(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document."""
+    """One row per document; with a ledger only what it lacks is scanned, and what it holds is told too."""
     v = docs.select(F.col(id_col).cast("long").alias("path"), F.col(text_col).alias("text"))
     found, _ = update(v, RULES, ledger)
+    if ledger is not None:
+        found = found.unionByName(earlier(v, ledger))
     told = materialise(summary(found), "findings")
     paths = address(v).select(F.col("path").alias("doc_id"), "blob")
     none = F.sha2(F.lit("").cast("binary"), 256)

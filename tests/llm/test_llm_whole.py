@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from test_llm_edges import docs_of, prose
+from pyspark.sql import functions as F
+from test_llm_edges import SECRET_ROWS, docs_of, prose
 from test_llm_queries import plain_pieces
 
+from corridor.llm import op05_secrets as o5
 from corridor.llm import op08_packing as o8
 from corridor.llm import op10_decontamination as o10
 
@@ -62,3 +64,19 @@ def test_packing_of_long_lists(spark):
     rows = [(1, "\n".join(words)), (2, "\n".join(words) + "\n"), (3, "\n" + "\n".join(words)), (4, mixed), (5, "a b\n" + mixed), (6, "\n".join(map(str, range(20_000)))), (7, "x\n<|endoftext|>\ny\nz")]
     waste, _ = plain_pieces(o8.pack(docs_of(spark, rows), o8.default_tokenizer()).collect(), rows)
     assert waste == 0
+
+
+def test_secrets_with_a_ledger_are_those_without(spark):
+    """A ledger of all, of some and of outdated rows changes what is scanned, never what is told."""
+    docs = docs_of(spark, [*SECRET_ROWS, (97, "token=abcdefghijklmnop"), (98, SECRET_ROWS[-3][1])], False)
+    tell = lambda ledger=None: sorted((tuple(r) for r in o5.secrets(docs, ledger).collect()), key=str)
+    want = tell()
+    first = docs.where("doc_id < 34 or doc_id is null").select(F.col("doc_id").alias("path"), "text")
+    ledger = o5.update(first)[1].localCheckpoint()
+    assert tell(ledger) == want
+    whole = ledger.unionByName(o5.update(docs.select(F.col("doc_id").alias("path"), "text"), ledger=ledger)[1]).localCheckpoint()
+    assert whole.count() == whole.select("blob", "rule", "version").distinct().count()
+    assert tell(whole) == want
+    assert tell(whole.unionByName(ledger)) == want
+    old = whole.withColumn("version", F.when(F.col("rule") == "hex", 0).otherwise(F.col("version"))).withColumn("spans", F.when(F.col("rule") == "hex", F.expr("array(struct(1L AS start, 2L AS stop))")).otherwise(F.col("spans")))
+    assert tell(old) == want
