@@ -224,7 +224,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
 
 def accept(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, with all their columns and no shuffle."""
+    """The rows whose text has a language, that is a letter, with all their columns and no shuffle; a network is not needed for it."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
     place = docs.columns.index(text_col)
 
@@ -234,8 +234,9 @@ def accept(docs: DataFrame, network: Network | None, text_col: str = "text") ->
         for batch in batches:
             data, offs = _text.buffers(batch.column(place))
             for lo, hi in _text.slices(offs, 1 << 20):
-                lang, _ = classify(net, tables, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                yield batch.slice(lo, hi - lo).filter(pa.array(lang != "und"))
+                part, own = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                keep = classify(net, tables, part, own)[0] != "und" if net else _has_letter(part, own)
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
     return docs.mapInArrow(lean(run), docs.schema)
 

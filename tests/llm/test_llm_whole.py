@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_llm_edges import SECRET_ROWS, docs_of, prose
 from test_llm_queries import plain_pieces
 
+from corridor.llm import op01_language as o1
 from corridor.llm import op05_secrets as o5
 from corridor.llm import op08_packing as o8
 from corridor.llm import op10_decontamination as o10
@@ -80,3 +81,8 @@ def test_secrets_with_a_ledger_are_those_without(spark):
     assert tell(whole.unionByName(ledger)) == want
     old = whole.withColumn("version", F.when(F.col("rule") == "hex", 0).otherwise(F.col("version"))).withColumn("spans", F.when(F.col("rule") == "hex", F.expr("array(struct(1L AS start, 2L AS stop))")).otherwise(F.col("spans")))
     assert tell(old) == want
+
+
+def test_language_without_labels_keeps_texts(spark):
+    docs = docs_of(spark, [(1, "some words"), (2, "12 !?"), (3, None), (4, "\u00e9"), (None, "x")])
+    assert {r["doc_id"] for r in o1.accept(docs, None).collect()} == {1, 4, None}
