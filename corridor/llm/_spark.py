@@ -33,7 +33,7 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "zstd", row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Cuts the lineage; the table outlives a lost executor and goes with the JVM.
@@ -42,7 +42,7 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", str(row_group)).parquet(path)
     _made.append(path)
     p, fs = _hadoop(spark, path)
     fs.deleteOnExit(p)

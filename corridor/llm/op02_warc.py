@@ -7,6 +7,13 @@ W3C date, type, digests), and ``read_warc`` reads a gzip-per-record WARC back.
 ``pages_to_warc`` does it for a table: archives are rows of a table in the
 shared folder, so any store that Spark writes to will do.
 
+Any ARC file of either version converts: a block that begins with an HTTP
+status line is a ``response`` whose payload follows the header block, all else
+(``dns:`` records, blocks without a header) is a ``resource`` that is payload as
+a whole.  Identifiers are made from the archive's name and the record's place
+in it, so no two records share one; a revisit names its original by target URI
+and date, as its WARC profile has it.
+
 Defined results: null html is an empty payload; a null url is
 ``urn:page:<page_id>``.  Payloads are equal if length and SHA-1 are.  Rows with
 the group's largest page_id are all responses, also when that page_id is
@@ -34,6 +41,8 @@ from ._spark import lean, materialise, table
 
 DEDUP_BYTES = 1000  # smaller payloads are never revisits
 ARCHIVE_BYTES = 1 << 20  # an archive is closed when it holds this much
+SALTS = 8  # parts in which a payload's captures meet its response
+ROW_GROUP = 8 << 20  # bytes of archives in a row group: readers hold one whole
 DATE = "20240101000000"
 
 #: fixed values: the field lines of the two ARC versions
@@ -85,11 +94,12 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     if not head.startswith("filedesc://"):
         raise ArcError("no version block")
     body, at = block(at, head.rsplit(" ", 1)[-1])
-    first, names = body.decode("utf-8").split("\n")[:2]
-    version, fields = int(first.split()[0]), names.split()
-    if version not in ARC_FIELDS or fields[0] != "URL" or fields[-1] != "Archive-length":
+    first, names = [x.rstrip("\r") for x in body.decode("utf-8", "surrogateescape").split("\n")[:2]]
+    version, fields = first.split(" ")[0], names.split()
+    if version not in ("1", "2") or fields[0] != "URL" or fields[-1] != "Archive-length":
         raise ArcError(f"version {first!r} is not known")
-    yield {"version": version, "URL": head.split(" ", 1)[0], "block": body, "at": 0}
+    date = re.search(r" (\d{4,14}) ", head)
+    yield {"version": int(version), "URL": head.split(" ", 1)[0], "Archive-date": date[1] if date else "", "block": body, "at": 0}
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -99,7 +109,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         values = head.rsplit(" ", len(fields) - 1)  # an old URL may itself hold blanks
         if len(values) != len(fields):
             raise ArcError(f"{len(values)} fields at {start}, {len(fields)} are declared")
-        record = dict(zip(fields, values)) | {"version": version, "at": start}
+        record = dict(zip(fields, values)) | {"version": int(version), "at": start}
         record["block"], at = block(at, record["Archive-length"])
         yield record
 
@@ -109,7 +119,8 @@ def _sha1(data: bytes) -> str:
 
 
 def warc_date(arc_date: str) -> str:
-    d = arc_date.ljust(14, "0")
+    """14 digits as a W3C date; month and day missing from a shorter one are the first, the time midnight."""
+    d = arc_date + "00000101000000"[len(arc_date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -124,34 +135,44 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(b"WARC/1.1\r\n" + head.encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def convert(record: dict, refers_to: int | None) -> bytes:
-    """The WARC record equivalent to a parsed ARC record."""
-    block = record["block"]
+def http_parts(block: bytes) -> tuple[bytes, bytes] | None:
+    """(header block, payload) of an HTTP response, or None."""
+    if not block.startswith(b"HTTP/"):
+        return None
+    ends = [k + len(mark) for mark in (b"\r\n\r\n", b"\n\n") if (k := block.find(mark)) >= 0]
+    cut = min(ends, default=len(block))
+    return block[:cut], block[cut:]
+
+
+def convert(record: dict, archive: str, original: tuple[int, str, str] | None = None) -> bytes:
+    """The WARC record equivalent to a parsed ARC record; ``original`` (page, URI, ARC date) makes it a revisit."""
+    block, own = record["block"], record_id(f"{archive}#{record['at']}")
     if "Archive-length" not in record:  # the version block
-        return warc_record(
-            [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(record["URL"])), ("WARC-Date", warc_date(DATE)), ("Content-Type", "application/warc-fields")],
-            f"software: corridor\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC/{record['version']}\r\n".encode(),
-        )
-    cut = block.find(b"\r\n\r\n") + 4
-    http, payload = block[:cut], block[cut:]
-    page = re.search(rb"\r\nX-Page-Id: ([^\r]*)", http)[1].decode()
+        body = f"software: corridor\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC/{record['version']}\r\n".encode()
+        date = warc_date(record["Archive-date"] or DATE)
+        return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")], body)
+    parts = http_parts(block)
+    payload = block if parts is None else parts[1]
+    kind, mime = ("resource", record["Content-type"]) if parts is None else ("response", "application/http; msgtype=response")
     headers = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(f"page:{page}")),
+        ("WARC-Type", kind if original is None else "revisit"),
+        ("WARC-Record-ID", own),
         ("WARC-Date", warc_date(record["Archive-date"])),
         ("WARC-Target-URI", record["URL"]),
         ("WARC-IP-Address", record["IP-address"]),
         ("WARC-Payload-Digest", _sha1(payload)),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", mime),
         ("X-Payload-Length", str(len(payload))),
     ]
-    if refers_to is not None:
+    if original is not None:
+        page, uri, date = original
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(f"page:{refers_to}")),
-            ("X-Refers-To-Page", str(refers_to)),
+            ("WARC-Refers-To-Target-URI", uri),
+            ("WARC-Refers-To-Date", warc_date(date)),
+            ("X-Refers-To-Page", str(page)),
         ]
-        block = http
+        block = b"" if parts is None else parts[0]
     return warc_record([*headers, ("WARC-Block-Digest", _sha1(block))], block)
 
 
@@ -188,35 +209,41 @@ RECORDS = T.StructType(
 )
 
 
+def page_url(page: int | None, url: str | None) -> str:
+    return url or f"urn:page:{'' if page is None else page}"
+
+
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, count = TaskContext.get().partitionId(), 0
-    arc, refers, size = [], [], 0
+    task, count, size = TaskContext.get().partitionId(), 0, 0
+    held: list[tuple[str, bytes]] = []
+    originals: list[tuple | None] = [None]  # of the version block, then of the records
 
     def close() -> pa.RecordBatch:
-        nonlocal count, arc, refers, size
-        version = 1 + count % 2
-        name = f"part-{task:06d}-{count:06d}.arc"
-        data, offset = [arc_header(name, version)], 0
-        for url, block in arc:
-            offset = sum(map(len, data[-1:])) + offset
-            data.append(arc_record(url, "0.0.0.0", DATE, "text/html", block, version, name, offset))
+        nonlocal count, size
+        version, name = 1 + count % 2, f"part-{task:06d}-{count:06d}"
+        data, at = [arc_header(f"{name}.arc", version)], 0
+        while held:
+            at += len(data[-1])
+            url, block = held.pop(0)
+            data.append(arc_record(url, "0.0.0.0", DATE, "text/html", block, version, f"{name}.arc", at))
         legacy = b"".join(data)
-        out = [convert(r, None if k == 0 else refers[k - 1]) for k, r in enumerate(parse_arc(legacy))]
-        count, arc, refers, size = count + 1, [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array([name.replace(".arc", ".warc.gz")]), pa.array([version], pa.int32()), pa.array([b"".join(out)], pa.binary())], names=ARCHIVES.names)
+        data.clear()
+        out = b"".join(convert(r, f"{name}.warc.gz", o) for r, o in zip(parse_arc(legacy), originals))
+        del originals[1:]
+        count, size = count + 1, 0
+        return pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([version], pa.int32()), pa.array([out], pa.binary())], names=ARCHIVES.names)
 
     for batch in batches:
         for row in range(batch.num_rows):
-            page, url, html, ref = (batch.column(c)[row].as_py() for c in ("page_id", "url", "html", "refers_to"))
+            page, url, html, ref, ref_url = (batch.column(c)[row].as_py() for c in ("page_id", "url", "html", "refers_to", "refers_url"))
             payload = (html or "").encode()
-            key = "" if page is None else str(page)
-            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {key}\r\n\r\n"
-            arc.append((url or f"urn:page:{key}", head.encode() + payload))
-            refers.append(ref)
-            size += len(payload)
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n"
+            held.append((page_url(page, url), head.encode() + payload))
+            originals.append(None if ref is None else (ref, clean_url(page_url(ref, ref_url)), DATE))
+            size += len(payload) + len(head) + 256  # records without a payload fill an archive too
             if size >= ARCHIVE_BYTES:
                 yield close()
-    if arc:
+    if held:
         yield close()
 
 
@@ -227,36 +254,39 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for headers, block in read_warc(batch.column("content")[k].as_py()):
                 if headers["WARC-Type"] == "warcinfo":
                     continue
-                page = re.search(rb"\r\nX-Page-Id: ([^\r]*)", block)[1]
+                page = re.search(rb"\r\nX-Page-Id: ([^\r]*)", (http_parts(block) or (b"",))[0])
                 digest = base64.b32decode(headers["WARC-Payload-Digest"][5:]).hex()
-                if headers["WARC-Type"] == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                if headers["WARC-Type"] != "revisit":
+                    payload = (http_parts(block) or (b"", block))[1]
                     if hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{headers['WARC-Record-ID']} has another payload")
                 ref = headers.get("X-Refers-To-Page")
-                rows.append((int(page) if page else None, int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], int(ref) if ref else None))
+                rows.append((int(page[1]) if page and page[1] else None, int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], int(ref) if ref else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=RECORDS.names)
 
 
 def with_references(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
-    """page_id, url, html and ``refers_to``: the page whose response holds the same payload, or null.
+    """page_id, url, html, and page and url of the response that holds the same payload (``refers_to``, ``refers_url``), or nulls.
 
-    Digests are pre-aggregated before the shuffle.  The join keys of payloads that
-    cannot be revisits are spread, and a hot payload is the streamed side of the
-    join, which adaptive execution splits.
+    Digests are pre-aggregated before the shuffle; payloads held once are not in the
+    joined list.  A payload's captures are salted over ``SALTS`` tasks, and the rows
+    with html are streamed past a hashed list: they are never sorted.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     large = F.octet_length(html) >= least
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    p = p.withColumn("payload", F.when(large, F.concat(F.sha1(html.cast("binary")), F.octet_length(html).cast("string"))).otherwise(F.concat(F.lit("small"), F.xxhash64("page_id", "url").cast("string"))))
-    keep = p.where(large).groupBy("payload").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return p.join(keep, "payload", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    spread = F.xxhash64("page_id", "url")
+    p = p.withColumn("payload", F.when(large, F.concat(F.sha1(html.cast("binary")), F.octet_length(html).cast("string"))).otherwise(F.concat(F.lit("small"), spread.cast("string"))))
+    keep = p.where(large).groupBy("payload").agg(F.max(F.struct("page_id", "url")).alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response.page_id is not null")
+    keep = keep.select("payload", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = p.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(keep.hint("shuffle_hash"), ["payload", "salt"], "left")
+    other = ~F.col("page_id").eqNullSafe(F.col("response.page_id"))
+    return out.select("page_id", "url", "html", *[F.when(other, F.col(f"response.{c}")).alias(a) for c, a in (("page_id", "refers_to"), ("url", "refers_url"))])
 
 
 def pages_to_warc(pages: DataFrame) -> DataFrame:
     """A table of archives (name, version of the ARC file it came from, content)."""
-    return materialise(with_references(pages).mapInArrow(lean(_write), ARCHIVES), "warc", "uncompressed")
+    return materialise(with_references(pages).mapInArrow(lean(_write), ARCHIVES), "warc", "uncompressed", ROW_GROUP)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -148,16 +148,40 @@ def test_arc_versions(version):
     data = o2.arc_header("a.arc", version) + b"".join(o2.arc_record(f"http://x/ {k}", "1.2.3.4", "20200102030405", "text/html", b, version, "a.arc", 0) for k, b in enumerate(blocks))
     head, *records = o2.parse_arc(data)
     assert head["version"] == version and [r["block"] for r in records] == blocks and records[0]["URL"] == "http://x/%200"
-    warc = b"".join(o2.convert(r, None if k != 1 else 9) for k, r in enumerate(records))
-    (h0, b0), (h1, b1) = o2.read_warc(warc)
-    assert h0["WARC-Type"] == "response" and h0["WARC-Date"] == "2020-01-02T03:04:05Z" and b0 == blocks[0] and h0["WARC-Record-ID"] == o2.record_id("page:4")
-    assert h1["WARC-Type"] == "revisit" and h1["WARC-Refers-To"] == o2.record_id("page:9") and b1 == blocks[1]
+    warc = o2.convert(head, "a") + b"".join(o2.convert(r, "a", None if k != 1 else (9, "http://y/", "20190102030405")) for k, r in enumerate(records))
+    (h, _), (h0, b0), (h1, b1) = o2.read_warc(warc)
+    assert h["WARC-Type"] == "warcinfo" and h["WARC-Date"] == "2024-01-01T00:00:00Z"
+    assert h0["WARC-Type"] == "response" and h0["WARC-Date"] == "2020-01-02T03:04:05Z" and b0 == blocks[0]
+    assert h1["WARC-Type"] == "revisit" and h1["WARC-Refers-To-Target-URI"] == "http://y/" and h1["WARC-Refers-To-Date"] == "2019-01-02T03:04:05Z" and b1 == blocks[1]
+    assert len({x["WARC-Record-ID"] for x in (h, h0, h1)}) == 3
     with pytest.raises(o2.ArcError):
         list(o2.parse_arc(data[:-3]))
     with pytest.raises(o2.ArcError):
         list(o2.parse_arc(data.replace(f"{version} 0 corridor".encode(), b"7 0 corridor")))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_foreign_arcs(version):
+    """Records of other writers: name look-ups, plain HTTP without our header, bare bodies, short dates, CR LF."""
+    body = f"{version} 1 Some Crawler\n{o2.ARC_FIELDS[version]}\n<arcmetadata/>\n".encode()
+    head = "filedesc:///old/IA-2001.arc 0.0.0.0 20011231235958 text/plain " + ("200 - - 0 IA-2001.arc " if version == 2 else "")
+    blocks = [("dns:example.org", "text/dns", b"20011231235959\nexample.org. 300 IN A 1.2.3.4\n"), ("http://example.org/a b", "text/html", b"HTTP/1.0 200 OK\nServer: x\n\n<p>\r\n\r\nX-Page-Id: 7\r\n</p>"), ("ftp://x/y", "text/plain", b"no header here"), ("http://x/", "text/html", b"HTTP/1.0 304 Not Modified\r\n"), ("http://e/", "text/html", b"")]
+    data = f"{head}{len(body)}\n".encode() + body
+    for url, mime, block in blocks:
+        line = f"{url} 1.2.3.4 200112312359 {mime} " + ("200 abc - 5 IA-2001.arc " if version == 2 else "")
+        data += f"{line}{len(block)}\n".encode() + block + b"\r\n"
+    first, *records = o2.parse_arc(data)
+    assert [(r["URL"], r["block"]) for r in records] == [(u, b) for u, _, b in blocks]
+    got = list(o2.read_warc(b"".join(o2.convert(r, "IA-2001.warc.gz") for r in (first, *records))))
+    assert got[0][0]["WARC-Date"] == "2001-12-31T23:59:58Z" and all(h["WARC-Date"] == "2001-12-31T23:59:00Z" for h, _ in got[1:])
+    assert [h["WARC-Type"] for h, _ in got] == ["warcinfo", "resource", "response", "resource", "response", "resource"]
+    assert [h["Content-Type"] for h, _ in got[1:4]] == ["text/dns", "application/http; msgtype=response", "text/plain"]
+    assert [b for _, b in got[1:]] == [b for _, _, b in blocks] and got[2][0]["X-Payload-Length"] == str(len(b"<p>\r\n\r\nX-Page-Id: 7\r\n</p>"))
+    assert len({h["WARC-Record-ID"] for h, _ in got}) == len(got) and o2.warc_date("2001") == "2001-01-01T00:00:00Z"
+    rows = pa.Table.from_batches(o2._read(iter([pa.RecordBatch.from_arrays([pa.array([b"".join(o2.convert(r, "a") for r in (first, *records))], pa.binary())], names=["content"])]))).to_pylist()
+    assert [r["page_id"] for r in rows] == [None] * 5 and {r["record_type"] for r in rows} == {"resource", "response"}
+
+
 # --- 3
 
 
