@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor.config import CONFIG, scaled_area_px, scaled_px
+from corridor.config import CONFIG, pixels_of, pixels_of_area
 from corridor.functions import color
 from corridor.functions import geometry as G
 from corridor.operators import centerline, embed, kernels, measure, raster, scan, spatial, widths
@@ -98,7 +98,7 @@ def paint(pixels: DataFrame) -> DataFrame:
 def traced(surface: DataFrame, coarse: DataFrame, gsd: float, least: int, c=CONFIG) -> DataFrame:
     """(tile, prow, pcol, comp): surface pixels in the widened coarse mask, closed, in parts of more than ``least`` pixels."""
     bridge = max(0, round(c.coarse_bridge_m / gsd))
-    roi, radius = scaled_px(8, gsd), scaled_px(2, gsd)
+    roi, radius = pixels_of(c.coarse_reach_m, gsd), pixels_of(c.surface_closing_m, gsd)
 
     def widen(g):
         wide = kernels.dilate(np.pad(kernels.connect(g["known"], bridge, c.bridge_orientations), roi), kernels.diamond(roi))[roi:-roi, roi:-roi]
@@ -119,8 +119,8 @@ def traced(surface: DataFrame, coarse: DataFrame, gsd: float, least: int, c=CONF
 
 def lane_bands(pixels: DataFrame, coarse: DataFrame, gsd: float, c=CONFIG) -> DataFrame:
     """Lanes as bands of constant width, with bridges between those that face each other: (tile, prow, pcol, comp)."""
-    parts = traced(materialise(paint(pixels), "paint"), coarse, gsd, scaled_area_px(15, gsd), c)
-    width = float(scaled_px(3, gsd))
+    parts = traced(materialise(paint(pixels), "paint"), coarse, gsd, pixels_of_area(c.min_lane_part_m2, gsd), c)
+    width = float(pixels_of(c.slice_m, gsd))
     key = F.concat_ws("#", "tile", F.col("comp").cast("string"))
     named = materialise(parts.withColumn("seg", key), "parts")
     bands = materialise(centerline.regularised(named, width, c, "seg"), "bands")
@@ -137,17 +137,20 @@ def lane_bands(pixels: DataFrame, coarse: DataFrame, gsd: float, c=CONFIG) -> Da
 def road_surface(pixels: DataFrame, coarse: DataFrame, shadow: DataFrame | None, gsd: float, c=CONFIG) -> DataFrame:
     """The road's parts: the coarse mask's widened area less the shadows and their margin, without small parts."""
     if shadow is not None:
-        near = raster.dilation(shadow, kernels.diamond(scaled_px(5, gsd)))
+        near = raster.dilation(shadow, kernels.diamond(pixels_of(c.shadow_exclusion_m, gsd)))
         coarse = coarse.join(near, KEY, "left_anti")
-    return traced(pixels, coarse, gsd, scaled_area_px(200, gsd), c)
+    return traced(pixels, coarse, gsd, pixels_of_area(c.min_road_part_m2, gsd), c)
 
 
 def centerlines(mask: DataFrame, affine: tuple[float, float, float, float], gsd: float, least: int, c=CONFIG) -> DataFrame:
-    """(lane_id, seq, x, y) of a lane mask's components with enough pixels, at the pixels' corners."""
-    parts = raster.at_least(raster.components(mask), least)
-    line = centerline.binned(parts, float(scaled_px(3, gsd)), c.min_centerline_bins)
+    """(tile, lane_id, seq, x, y) of a lane mask's components with enough pixels, at the pixels' corners.
+
+    Component numbers repeat from tile to tile: a lane is one of a tile.
+    """
+    parts = raster.at_least(raster.components(mask), least).withColumn("part", F.struct("tile", "comp"))
+    line = centerline.binned(parts, float(pixels_of(c.slice_m, gsd)), c.min_centerline_bins, "part")
     x, y = G.to_world(F.col("row"), F.col("col"), *affine)
-    return line.select(F.col("comp").cast("string").alias("lane_id"), F.col("bin").alias("seq"), x.alias("x"), y.alias("y"))
+    return line.select("part.tile", F.concat_ws("/", "part.tile", F.col("part.comp").cast("string")).alias("lane_id"), F.col("bin").alias("seq"), x.alias("x"), y.alias("y"))
 
 
 def as_segments(points: DataFrame) -> DataFrame:

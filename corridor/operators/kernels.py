@@ -93,6 +93,40 @@ def edt(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.sqrt(best), row, col
 
 
+def nearest(rows: np.ndarray, cols: np.ndarray, known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, row, column) for each place of the nearest known one; ``known`` has each row's sorted columns.  inf without any.
+
+    Rows are gone through outwards from each place, as long as a row can still hold a nearer one; ties to the upper, then left place.
+    """
+    best, near_row, near_col = np.full(len(rows), np.inf), np.full(len(rows), -1), np.full(len(rows), -1)
+    if not known or not len(rows):
+        return best, near_row, near_col
+    lo, hi = min(known), max(known)
+    reach = max(hi - int(rows.min()), int(rows.max()) - lo, 0)
+    column, index = np.unique(cols, return_inverse=True)
+    at = np.full((hi - lo + 1, len(column)), -1)  # for each known row and asked column the nearest known column
+    for r, own in known.items():
+        k = np.searchsorted(own, column)
+        left, right = own[np.maximum(k - 1, 0)], own[np.minimum(k, len(own) - 1)]
+        left = np.where(k > 0, left, right)
+        at[r - lo] = np.where(np.abs(column - left) <= np.abs(right - column), left, right)
+    todo = np.arange(len(rows))
+    for step in range(reach + 1):
+        todo = todo[best[todo] >= step**2]
+        if not len(todo):
+            break
+        for sign in (-1, 1) if step else (1,):
+            r = rows[todo] + sign * step
+            ok = (r >= lo) & (r <= hi)
+            own, r = todo[ok], r[ok]
+            c = at[r - lo, index[own]]
+            d = np.where(c >= 0, float(step**2) + (c - cols[own]).astype(float) ** 2, np.inf)
+            better = (d < best[own]) | ((d == best[own]) & (r < near_row[own]))
+            own = own[better]
+            best[own], near_row[own], near_col[own] = d[better], r[better], c[better]
+    return np.sqrt(best), near_row, near_col
+
+
 def label(mask: np.ndarray) -> np.ndarray:
     """4-connected components: 0 outside, else 1 + the least row-major pixel of the component."""
     h, w = mask.shape
@@ -119,22 +153,6 @@ def label(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, first[root][run], 0)
 
 
-def box_sum(x: np.ndarray, half: int) -> np.ndarray:
-    """Sums over (2 half + 1) squared windows, zero outside."""
-    for axis in (0, 1):
-        n = x.shape[axis]
-        total = np.insert(np.cumsum(x, axis=axis, dtype=float), 0, 0, axis=axis)
-        at = np.arange(n)
-        x = np.take(total, np.minimum(at + half + 1, n), axis) - np.take(total, np.maximum(at - half, 0), axis)
-    return x
-
-
-def masked_mean(values: np.ndarray, mask: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean over the mask's pixels of the window, their share of the full window)."""
-    n = box_sum(mask.astype(float), half)
-    return box_sum(np.where(mask, values, 0.0), half) / np.maximum(n, 1e-9) * (n > 0), n / (2 * half + 1) ** 2
-
-
 def gaussian(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
     """Along the last axis, mirrored at the ends (the end sample counts twice)."""
     radius = int(truncate * sigma + 0.5)
@@ -254,31 +272,3 @@ def bresenham(r0: int, c0: int, r1: int, c1: int) -> tuple[np.ndarray, np.ndarra
     t = np.arange(n + 1) / max(n, 1)
     return np.rint(r0 + (r1 - r0) * t).astype(int), np.rint(c0 + (c1 - c0) * t).astype(int)
 
-
-def correct_shadow(bands: np.ndarray, shadow: np.ndarray, road: np.ndarray, gsd: float, c) -> np.ndarray:
-    """Shadow pixels lifted to the light of sunlit road around them; the input where nothing is sunlit or shaded.
-
-    ``bands`` is (band, row, column) of 8-bit values.
-    """
-    sunlit, shaded = road & ~shadow, road & shadow
-    if not sunlit.any() or not shaded.any():
-        return bands.copy()
-    half = max(1, round(c.shadow_window_m / gsd))
-    to_sun, sun_row, sun_col = edt(sunlit)
-    to_shade, shade_row, shade_col = edt(shaded)
-    taper = np.clip(to_sun / (c.feather_m / gsd), 0, 1)
-    reach = c.bleed_m / gsd
-    halo = sunlit & (to_shade <= reach)
-    out = bands.astype(float)
-    for k, band in enumerate(bands.astype(float)):
-        sun_mean, density = masked_mean(band, sunlit, half)
-        shade_mean, _ = masked_mean(band, shaded, half)
-        nearest = band[sun_row, sun_col]
-        mixed = nearest * (1 - taper) + sun_mean * taper
-        target = np.where(density >= c.min_reference_density, mixed, nearest)
-        base = np.maximum(shade_mean, 1.0)
-        offset = np.clip(target - base, 0, base * (c.shadow_max_gain - 1))
-        out[k][shaded] += offset[shaded]
-        spill = offset[shade_row, shade_col] * np.clip(1 - to_shade / reach, 0, 1)
-        out[k][halo] += spill[halo]
-    return np.clip(out, 0, 255).astype(np.uint8)

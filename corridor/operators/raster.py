@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corridor.config import pixels_of
 from corridor.operators import kernels
 from corridor.sources.store import materialise
 
@@ -126,6 +127,43 @@ def distance(mask: DataFrame, pixels: DataFrame, reach: int, block: int = BLOCK)
     return out.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
+def nearest(mask: DataFrame, pixels: DataFrame, strip: int = 64) -> DataFrame:
+    """(tile, prow, pcol, distance, near_row, near_col) of each pixel's nearest mask pixel, however far; null in a tile without one.
+
+    Of equally near ones the upper, then the left.  A task gets a strip of columns with
+    the mask pixels inside it and, for every row, the last one to its left and the first
+    to its right, which is all that can be nearest along that row.
+    """
+    from pyspark.sql import Window
+
+    part = F.floor(F.col("pcol") / strip).cast("int")
+    asked = pixels.select("tile", "prow", "pcol").distinct().withColumn("strip", part)
+    own = mask.select("tile", "prow", "pcol").distinct().withColumn("strip", part)
+    wanted = asked.groupBy("tile").agg(F.min("strip").alias("lo"), F.max("strip").alias("hi"))
+    cells = own.groupBy("tile", "prow", "strip").agg(F.sort_array(F.collect_list("pcol")).alias("cols"))
+    every = F.explode(F.sequence("lo", "hi")).alias("strip")
+    slots = cells.unionByName(cells.select("tile", "prow").distinct().join(wanted, "tile").select("tile", "prow", every), allowMissingColumns=True)
+    slots = slots.groupBy("tile", "prow", "strip").agg(F.max("cols").alias("cols"))
+    row = Window.partitionBy("tile", "prow").orderBy("strip")
+    before = F.last(F.array_max("cols"), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.array_min("cols"), ignorenulls=True).over(row.rowsBetween(1, Window.unboundedFollowing))
+    known = slots.select("tile", "strip", "prow", F.flatten(F.array_compact(F.array("cols", F.array_compact(F.array(before, after))))).alias("cols"))
+    rows = asked.select("tile", "strip", "prow", F.array("pcol").alias("cols"), F.lit(True).alias("asked")).unionByName(known.join(wanted, "tile").where("strip BETWEEN lo AND hi").select("tile", "strip", "prow", "cols", F.lit(False).alias("asked")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, k = pdf[pdf.asked], pdf[~pdf.asked]
+        r, c = q.prow.to_numpy(), np.array([x[0] for x in q.cols], int)
+        d, nr, nc = kernels.nearest(r, c, {int(a): np.sort(np.asarray(b)) for a, b in zip(k.prow, k.cols)})
+        some = np.isfinite(d)
+        null = lambda v: pd.array(np.where(some, v, 0), dtype="Int32")
+        rows_, cols_ = null(nr), null(nc)
+        rows_[~some], cols_[~some] = pd.NA, pd.NA
+        return pd.DataFrame({"tile": q.tile.to_numpy(), "prow": r, "pcol": c, "distance": np.where(some, d, np.nan), "near_row": rows_, "near_col": cols_})
+
+    out = rows.groupBy("tile", "strip").applyInPandas(run, "tile string, prow int, pcol int, distance double, near_row int, near_col int")
+    return out.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
+
+
 def components(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tile, prow, pcol, comp): 4-connected; comp is the component's least prow * 2^31 + pcol.
 
@@ -182,8 +220,8 @@ def at_least(components_: DataFrame, least: int, strict: bool = False) -> DataFr
     return components_.join(keep, ["tile", "comp"], "left_semi")
 
 
-def box_mean(pixels: DataFrame, value: str, mask, half: int) -> DataFrame:
-    """Mean over a mask's pixels of the window around each pixel, and the mask's share of the full window.
+def box_sums(pixels: DataFrame, sums: dict, half: int) -> DataFrame:
+    """(tile, prow, pcol) and, for each named column, its sum over the window around each pixel.
 
     Separable: running sums along the rows, then along the columns, by RANGE frames.
     """
@@ -191,9 +229,14 @@ def box_mean(pixels: DataFrame, value: str, mask, half: int) -> DataFrame:
 
     along = Window.partitionBy("tile", "prow").orderBy("pcol").rangeBetween(-half, half)
     across = Window.partitionBy("tile", "pcol").orderBy("prow").rangeBetween(-half, half)
+    rows = pixels.select("tile", "prow", "pcol", *[F.sum(v).over(along).alias(k) for k, v in sums.items()])
+    return rows.select("tile", "prow", "pcol", *[F.sum(k).over(across).alias(k) for k in sums])
+
+
+def box_mean(pixels: DataFrame, value: str, mask, half: int) -> DataFrame:
+    """Mean over a mask's pixels of the window around each pixel, and the mask's share of the full window."""
     m = F.when(mask, 1).otherwise(0)
-    rows = pixels.select("tile", "prow", "pcol", F.sum(m * F.col(value)).over(along).alias("s"), F.sum(m).over(along).alias("n"))
-    both = rows.select("tile", "prow", "pcol", F.sum("s").over(across).alias("s"), F.sum("n").over(across).alias("n"))
+    both = box_sums(pixels, {"s": m * F.col(value), "n": m}, half)
     return both.select("tile", "prow", "pcol", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("mean"), (F.col("n") / F.lit(float((2 * half + 1) ** 2))).alias("density"))
 
 
@@ -239,15 +282,50 @@ def clean_mask(mask: DataFrame, frame_: DataFrame, gsd: float, closing_m: float,
     return at_least(components(closed), int(np.ceil(area_m2 / gsd**2))).select("tile", "prow", "pcol")
 
 
-def correct_shadows(pixels: DataFrame, gsd: float, c) -> DataFrame:
-    """(tile, prow, pcol, r, g, b, nir) with shaded road lifted; needs booleans ``road`` and ``shadow``.
+BANDS = ("r", "g", "b", "nir")
+
 
-    The halo is the averaging window and the reach of the nearest sunlit pixel, which is taken within it.
+def shadow_lift(pixels: DataFrame, gsd: float, c) -> DataFrame:
+    """(tile, prow, pcol, r, g, b, nir): what each shaded road pixel is raised by, none where its tile has no sunlit road.
+
+    A pixel is raised from the mean of the shade around it to the light of the sunlit road:
+    that of its nearest pixel at the border, the mean of the window deeper in, and the
+    nearest pixel again where the window holds too little sunlit road.
     """
-    bands = ["r", "g", "b", "nir"]
+    sunny, shady = F.col("road") & ~F.col("shadow"), F.col("road") & F.col("shadow")
+    half = pixels_of(c.shadow_window_m, gsd)
+    count = {"n_sun": F.when(sunny, 1).otherwise(0), "n_shade": F.when(shady, 1).otherwise(0)}
+    sums = {f"{kind}_{b}": F.when(own, F.col(b)).otherwise(0) for kind, own in (("sun", sunny), ("shade", shady)) for b in BANDS}
+    around = box_sums(pixels, count | sums, half).join(pixels.where(shady).select("tile", "prow", "pcol"), ["tile", "prow", "pcol"])
+    sun = pixels.where(sunny).select("tile", F.col("prow").alias("near_row"), F.col("pcol").alias("near_col"), *[F.col(b).alias(f"near_{b}") for b in BANDS])
+    place = nearest(pixels.where(sunny), pixels.where(shady)).where("near_row IS NOT NULL")
+    rows = around.join(place, ["tile", "prow", "pcol"]).join(sun, ["tile", "near_row", "near_col"])
+    depth = F.least(F.lit(1.0), F.col("distance") * gsd / c.feather_m)
+    depth = F.when(F.col("n_sun") >= c.min_reference_density * (2 * half + 1) ** 2, depth).otherwise(0.0)
+
+    def raised(b: str):
+        mean = F.coalesce(F.try_divide(f"sun_{b}", "n_sun"), F.lit(0.0))
+        shade = F.greatest(F.lit(1.0), F.col(f"shade_{b}") / F.col("n_shade"))
+        light = F.col(f"near_{b}") * (1 - depth) + mean * depth
+        return F.greatest(F.lit(0.0), F.least(light - shade, shade * (c.shadow_max_gain - 1)))
+
+    return rows.select("tile", "prow", "pcol", *[raised(b).alias(b) for b in BANDS])
 
-    def kernel(g):
-        fixed = kernels.correct_shadow(np.stack([g[b] for b in bands]), g["shadow"].astype(bool), g["road"].astype(bool), gsd, c)
-        return {b: fixed[k].astype(np.int32) for k, b in enumerate(bands)}
 
-    return apply_blocks(pixels, [*bands, "road", "shadow"], kernel, "r int, g int, b int, nir int", round(c.shadow_window_m / gsd) + 1)
+def correct_shadows(pixels: DataFrame, gsd: float, c) -> DataFrame:
+    """(tile, prow, pcol, r, g, b, nir) with shaded road lifted, however far it lies from the light; needs booleans ``road`` and ``shadow``.
+
+    Sunlit road near a shadow takes a fading share of the nearest shaded pixel's lift, so that no seam shows.
+    """
+    key = ["tile", "prow", "pcol"]
+    px = materialise(pixels.select(*key, *BANDS, "road", "shadow"), "lit")
+    lift = materialise(shadow_lift(px, gsd, c), "lift")
+    reach = c.bleed_m / gsd
+    seam = distance(px.where("road AND shadow"), px.where("road AND NOT shadow"), int(reach)).where("near_row IS NOT NULL")
+    seam = seam.withColumn("share", 1 - F.col("distance") / reach).where("share > 0").select("tile", "prow", "pcol", "near_row", "near_col", "share")
+    from_shade = lift.select("tile", F.col("prow").alias("near_row"), F.col("pcol").alias("near_col"), *BANDS)
+    spill = seam.join(from_shade, ["tile", "near_row", "near_col"]).select(*key, *[(F.col(b) * F.col("share")).alias(b) for b in BANDS])
+    more = lift.unionByName(spill).select(*key, *[F.col(b).alias(f"more_{b}") for b in BANDS])
+    out = px.join(more, key, "left")
+    level = lambda b: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(b) + F.coalesce(f"more_{b}", F.lit(0.0)))).cast("int")
+    return out.select(*key, *[level(b).alias(b) for b in BANDS])

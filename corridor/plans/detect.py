@@ -42,9 +42,9 @@ def edt(spark, sf_dir):
 
 
 def nearest_sunlit(spark, sf_dir):
-    """Each shaded pixel with the blue of the nearest sunlit one within reach (ties: upper, then left)."""
+    """Each shaded pixel with the blue of the nearest sunlit one, however far (ties: upper, then left)."""
     df = load(spark, sf_dir, "pixels")
-    near = raster.distance(df.where("nir >= 128"), df.where("nir < 128"), 6)
+    near = raster.nearest(df.where("nir >= 128 AND r % 64 = 0"), df.where("nir < 128"))
     lit = df.select("tile", F.col("prow").alias("near_row"), F.col("pcol").alias("near_col"), F.col("b").alias("value"))
     return near.join(lit, ["tile", "near_row", "near_col"], "left").select(*KEY, F.round("distance", 6).alias("distance"), "value")
 
@@ -204,6 +204,9 @@ ORACLES = {
         e AS (SELECT a.tile, a.prow, a.pcol FROM d a CROSS JOIN {_D1} JOIN d b ON b.tile = a.tile AND b.prow = a.prow + dr AND b.pcol = a.pcol + dc GROUP BY 1, 2, 3 HAVING count(*) = 5)
         SELECT e.tile, e.prow::INT AS prow, e.pcol::INT AS pcol FROM e, h WHERE prow BETWEEN 1 AND h - 1 AND pcol BETWEEN 1 AND w - 1""",
     "edt": f"{P}, m AS (SELECT tile, prow, pcol FROM pixels WHERE r % 16 = 0) SELECT p.tile, p.prow, p.pcol, round(min(CASE WHEN pow(p.prow - m.prow, 2) + pow(p.pcol - m.pcol, 2) <= 36 THEN sqrt(pow(p.prow - m.prow, 2) + pow(p.pcol - m.pcol, 2)) END), 6) AS distance FROM pixels p LEFT JOIN m ON m.tile = p.tile AND m.prow BETWEEN p.prow - 6 AND p.prow + 6 AND m.pcol BETWEEN p.pcol - 6 AND p.pcol + 6 GROUP BY 1, 2, 3",
+    "nearest_sunlit": f"""{P}, m AS (SELECT tile, prow, pcol, b FROM pixels WHERE nir >= 128 AND r % 64 = 0),
+        q AS (SELECT p.tile, p.prow, p.pcol, min(struct_pack(d := (p.prow - m.prow) * (p.prow - m.prow) + (p.pcol - m.pcol) * (p.pcol - m.pcol), r := m.prow, c := m.pcol, b := m.b)) AS n FROM pixels p JOIN m ON m.tile = p.tile AND abs(m.prow - p.prow) <= 60 WHERE p.nir < 128 GROUP BY 1, 2, 3)
+        SELECT p.tile, p.prow, p.pcol, round(sqrt(n.d), 6) AS distance, n.b AS value FROM pixels p LEFT JOIN q USING (tile, prow, pcol) WHERE p.nir < 128""",
     "pca_axis": f"{_BANDS} SELECT comp, round(row, 6) AS row, round(col, 6) AS col, CASE WHEN round(s * a, 6) = 0 THEN 0.0 ELSE round(s * a, 6) END AS ar, CASE WHEN round(s * b, 6) = 0 THEN 0.0 ELSE round(s * b, 6) END AS ac FROM x",
     "binned_centerline": f"{_BANDS}, n AS (SELECT d.comp, floor(((prow - row) * s * a + (pcol - col) * s * b) / 6.0 + 1e-9)::INT AS bin, prow, pcol FROM d JOIN x USING (comp)), g AS (SELECT comp, bin, avg(prow) AS row, avg(pcol) AS col, count(*) OVER (PARTITION BY comp) AS bins FROM n GROUP BY 1, 2) SELECT comp, bin, round(row, 6) AS row, round(col, 6) AS col FROM g WHERE bins >= 7",
     "bridge_pairs": f"{_TIPS} SELECT a, b, round(gap, 6) AS gap, place_a, place_b FROM j WHERE gap > 0 AND gap <= 4 * radius AND da / gap >= 0.82 AND db / gap >= 0.82 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY place_a, place_b) = 1",

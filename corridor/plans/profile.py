@@ -127,7 +127,7 @@ _W = "WINDOW o AS (PARTITION BY section_id ORDER BY i)"
 _RUNS = f"""{P}, c AS (SELECT *, CASE WHEN lag(label) OVER o IS NOT DISTINCT FROM label THEN 0 ELSE 1 END AS cut FROM profiles {_W}),
     n AS (SELECT *, sum(cut) OVER (PARTITION BY section_id ORDER BY i) AS run_id FROM c),
     runs AS (SELECT section_id, run_id, label, min(dist_m)::DOUBLE AS start_m, max(dist_m)::DOUBLE AS end_m, count(*) AS n, round(avg(brightness), 6) AS brightness, CASE WHEN round(avg(ndvi), 6) = 0 THEN 0.0 ELSE round(avg(ndvi), 6) END AS ndvi, CASE WHEN round(avg(redness), 6) = 0 THEN 0.0 ELSE round(avg(redness), 6) END AS redness, round(avg(shadow::INT), 6) AS shadow_fraction FROM n GROUP BY 1, 2, 3)"""
-_STRIPS = f"""{_RUNS}, l AS (SELECT section_id, run_id, start_m, end_m, CASE WHEN shadow_fraction >= 0.75 THEN 'unknown (shadow)' ELSE label END AS label FROM runs WHERE run_id <= 12),
+_STRIPS = f"""{_RUNS}, l AS (SELECT section_id, run_id, start_m, end_m, CASE WHEN shadow_fraction >= 0.75 THEN 'unknown (shadow)' ELSE label END AS label FROM runs),
     e AS (SELECT section_id, min(start_m) AS lo, max(end_m) AS hi FROM l GROUP BY 1), m AS (SELECT section_id, lo, lo + (hi - lo) * 0.25 AS a, lo + (hi - lo) * 0.75 AS b FROM e)"""
 
 
@@ -155,7 +155,7 @@ ORACLES = {
     "subsample_peak": f"{P}, b AS (SELECT section_id, i, lag(brightness) OVER o AS p, brightness AS m, lead(brightness) OVER o AS q FROM profiles {_W}), o AS (SELECT section_id, i, round(CASE WHEN p IS NULL OR q IS NULL OR abs(p - 2 * m + q) <= 1e-9 THEN 0.0 ELSE greatest(-1, least(1, 0.5 * (p - q) / (p - 2 * m + q))) END, 6) AS f FROM b) SELECT section_id, i, CASE WHEN f = 0 THEN 0.0 ELSE f END AS offset FROM o",
     "runs_gaps_islands": f"{_RUNS} SELECT section_id, run_id, label, round(start_m, 6) AS start_m, round(end_m, 6) AS end_m, n, brightness, ndvi, redness, shadow_fraction FROM runs",
     "run_label": f"{_RUNS}, k AS (SELECT *, CASE WHEN shadow_fraction >= 0.2 THEN 'unknown (shadow)' WHEN label = 'purchase' THEN 'bright/marking' WHEN ndvi > 0.15 THEN 'vegetation' WHEN redness > 0.05 THEN 'red paint' WHEN brightness > 165 THEN 'bright/marking' ELSE 'asphalt' END AS material FROM runs) SELECT material, count(*) AS n, round(avg(end_m - start_m), 6) AS mean_width FROM k GROUP BY 1",
-    "run_containing": f"{_RUNS}, q AS (SELECT DISTINCT section_id, i * 0.05::DOUBLE * 2 AS at_m FROM profiles WHERE i * 0.05::DOUBLE * 2 < 2) SELECT section_id, round(at_m, 6) AS at_m, run_id, label FROM q JOIN runs USING (section_id) WHERE at_m BETWEEN start_m AND end_m QUALIFY row_number() OVER (PARTITION BY section_id, at_m ORDER BY start_m, run_id) = 1",
+    "run_containing": f"{_RUNS}, q AS (SELECT DISTINCT section_id, i * 0.05::DOUBLE * 2 AS at_m FROM profiles) SELECT section_id, round(at_m, 6) AS at_m, run_id, label FROM q JOIN runs USING (section_id) WHERE at_m BETWEEN start_m AND end_m QUALIFY row_number() OVER (PARTITION BY section_id, at_m ORDER BY start_m, run_id) = 1",
     "widest_run_between": f"{_STRIPS}, {_compose('greatest(b - a, 0)', 'l.end_m > a AND l.start_m < b')} SELECT section_id, composition FROM k",
     "composition_case_pixel": f"{_STRIPS}, {_compose('greatest(b - a, 0)', 'l.start_m >= a AND l.end_m <= b')} SELECT section_id, composition FROM k",
     "composition_case_osm": f"{_STRIPS}, {_compose('greatest(m.section_id % 10 / 10::DOUBLE - 0.4, 0)', 'l.end_m > 0.4 AND l.start_m < m.section_id % 10 / 10::DOUBLE AND l.start_m <> lo')} SELECT composition, count(*) AS n FROM k GROUP BY 1",

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra.numpy import arrays
 
-from corridor.config import CONFIG, scaled_area_px, scaled_px
+from corridor.config import pixels_of, pixels_of_area
 from corridor.operators import kernels as K
 from corridor.operators import sections
 
@@ -29,6 +29,22 @@ def test_edt_is_exact(mask):
             assert mask[r[i, j], c[i, j]] and abs(np.hypot(r[i, j] - i, c[i, j] - j) - best) < 1e-9
 
 
+@settings(max_examples=60, deadline=None)
+@given(MASKS, st.data())
+def test_nearest_is_the_transform(mask, data):
+    """Any places, inside the mask's box or beyond it, sparse or dense."""
+    asked = np.array(data.draw(st.lists(st.tuples(st.integers(-5, 20), st.integers(-5, 20)), min_size=1, max_size=30)))
+    at = np.argwhere(mask)
+    d, r, c = K.nearest(asked[:, 0], asked[:, 1], {int(k): np.flatnonzero(mask[k]) for k in np.flatnonzero(mask.any(1))})
+    for k, p in enumerate(asked):
+        if not len(at):
+            assert d[k] == np.inf and r[k] == -1
+            continue
+        square = ((at - p) ** 2).sum(1)
+        best = at[np.lexsort((at[:, 1], at[:, 0], square))[0]]
+        assert d[k] == np.sqrt(square.min()) and (r[k], c[k]) == tuple(best)
+
+
 @settings(max_examples=60, deadline=None)
 @given(MASKS)
 def test_labels_are_components(mask):
@@ -121,27 +137,8 @@ def test_polygons_and_lines():
     assert r.tolist() == [0, 0, 1, 2, 2] and c.tolist() == [0, 1, 2, 3, 4]
 
 
-def test_box_mean():
-    x = np.arange(25.0).reshape(5, 5)
-    m = x % 2 == 0
-    mean, share = K.masked_mean(x, m, 1)
-    assert mean[0, 0] == 3 and abs(share[0, 0] - 2 / 9) < 1e-12
-    assert abs(mean[2, 2] - x[1:4, 1:4][m[1:4, 1:4]].mean()) < 1e-12
-
-
-def test_shadow_is_lifted():
-    bands = np.full((4, 60, 60), 120, np.uint8)
-    shadow = np.zeros((60, 60), bool)
-    shadow[20:40, 20:40] = True
-    bands[:, shadow] = 60
-    road = np.ones((60, 60), bool)
-    out = K.correct_shadow(bands, shadow, road, 1.0, CONFIG)
-    assert (out[:, 30, 30] == 120).all() and (out[:, 0, 0] == 120).all()
-    assert (K.correct_shadow(bands, road, road, 1.0, CONFIG) == bands).all()  # nothing sunlit
-
-
 def test_scaled_pixels():
-    assert scaled_px(8, 0.1) == 16 and scaled_px(1, 10.0) == 1 and scaled_area_px(200, 0.1) == 800 and scaled_px(5, 0.4) == 2
+    assert pixels_of(1.6, 0.1) == 16 and pixels_of(0.2, 10.0) == 1 and pixels_of_area(8.0, 0.1) == 800 and pixels_of(1.0, 0.4) == 2 and pixels_of(0.6, 0.4) == 2
 
 
 def _profile(rows):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -38,6 +40,121 @@ def test_blocks_do_not_show(spark):
     assert all((v is None and want[k] > 5) or abs(v - want[k]) < 1e-9 for k, v in d.items()) and len(d) == m.size
 
 
+def test_nearest_has_no_reach(spark):
+    m = np.zeros((30, 300), bool)
+    m[3, 2] = m[25, 140] = True
+    asked = np.random.default_rng(2).random(m.shape) < 0.2
+    got = {(r["prow"], r["pcol"]): r for r in raster.nearest(grid(spark, m), grid(spark, asked), 16).collect()}
+    want, row, col = kernels.edt(m)
+    assert set(got) == {tuple(map(int, x)) for x in np.argwhere(asked)}
+    assert all(r["distance"] == want[k] and (r["near_row"], r["near_col"]) == (row[k], col[k]) for k, r in got.items())
+    other = raster.nearest(grid(spark, m, "other"), grid(spark, asked)).collect()
+    assert len(other) == asked.sum() and all(r["distance"] is None and r["near_row"] is None for r in other)
+
+
+def plain_correction(bands, shadow, road, gsd, c):
+    """Pixel by pixel."""
+    h, w = shadow.shape
+    half = max(1, round(c.shadow_window_m / gsd))
+    sun, shade = [(r, q) for r in range(h) for q in range(w) if road[r, q] and not shadow[r, q]], [(r, q) for r in range(h) for q in range(w) if road[r, q] and shadow[r, q]]
+    out = bands.astype(float)
+    if not sun or not shade:
+        return bands
+    first = lambda p, places: min(places, key=lambda x: ((x[0] - p[0]) ** 2 + (x[1] - p[1]) ** 2, x))
+    inside = lambda p, places: [x for x in places if abs(x[0] - p[0]) <= half and abs(x[1] - p[1]) <= half]
+    lift = {}
+    for p in shade:
+        n = first(p, sun)
+        t = min(1.0, np.hypot(n[0] - p[0], n[1] - p[1]) * gsd / c.feather_m)
+        lit, dim = inside(p, sun), inside(p, shade)
+        for k in range(len(bands)):
+            base = max(1.0, np.mean([bands[k][x] for x in dim]))
+            goal = float(bands[k][n])
+            if len(lit) >= c.min_reference_density * (2 * half + 1) ** 2:
+                goal = goal * (1 - t) + np.mean([bands[k][x] for x in lit]) * t
+            lift[k, p] = min(max(goal - base, 0.0), base * (c.shadow_max_gain - 1))
+            out[k][p] += lift[k, p]
+    for p in sun:
+        n = first(p, shade)
+        t = 1 - np.hypot(n[0] - p[0], n[1] - p[1]) * gsd / c.bleed_m
+        for k in range(len(bands)):
+            out[k][p] += lift[k, n] * max(0.0, t)
+    return np.clip(out, 0, 255).astype(int)
+
+
+def corrected(spark, bands, shadow, road, gsd, c):
+    rows = [("t", r, q, *[int(b[r, q]) for b in bands], bool(road[r, q]), bool(shadow[r, q])) for r in range(shadow.shape[0]) for q in range(shadow.shape[1])]
+    px = spark.createDataFrame(rows, "tile string, prow int, pcol int, r int, g int, b int, nir int, road boolean, shadow boolean")
+    out = np.zeros(bands.shape, int)
+    for x in raster.correct_shadows(px, gsd, c).collect():
+        out[:, x["prow"], x["pcol"]] = [x[b] for b in raster.BANDS]
+    return out
+
+
+def test_shadows_are_corrected_pixel_by_pixel(spark):
+    c = replace(CONFIG, shadow_window_m=1.5, feather_m=1.0, bleed_m=1.1)
+    rng = np.random.default_rng(4)
+    bands, shadow, road = rng.integers(0, 256, (4, 14, 21)), np.zeros((14, 21), bool), rng.random((14, 21)) < 0.9
+    shadow[2:12, 3:14] = rng.random((10, 11)) < 0.9
+    want = plain_correction(bands, shadow, road, 0.5, c)
+    assert (np.abs(corrected(spark, bands, shadow, road, 0.5, c) - want) <= (np.abs(want - want.round()) > 1e-9)).all() and (want != bands).any()
+    assert (corrected(spark, bands, road, road, 0.5, c) == bands).all()  # nothing sunlit
+
+
+def test_far_shadows_are_corrected(spark):
+    """A strip far longer than a block and the window, with sun in its first pixels only."""
+    bands, shadow = np.full((4, 2, 1400), 60), np.ones((2, 1400), bool)
+    bands[:, :, :10], shadow[:, :10] = 180, False
+    out = corrected(spark, bands, shadow, np.ones_like(shadow), 1.0, CONFIG)
+    assert (out[:, :, 10:] == 180).all()
+
+
+def test_bands_of_constant_width(spark):
+    """Against whole grids: depth by the transform, discs by distance."""
+    rng = np.random.default_rng(6)
+    m = np.zeros((60, 140), bool)
+    for q in range(5, 130):
+        top = int(20 + 8 * np.sin(q / 17) + rng.integers(0, 3))
+        m[top : top + rng.integers(7, 12), q] = True
+    parts = {1: m, 2: np.roll(m, 11, axis=0)}
+    px = [(k, int(r), int(q)) for k, v in parts.items() for r, q in np.argwhere(v)]
+    df = spark.createDataFrame(px, "comp int, prow int, pcol int")
+    got = centerline.regularised(df, 3.0).collect()
+    assert len(got) == len({(r["comp"], r["prow"], r["pcol"]) for r in got})
+    for k, v in parts.items():
+        line = sorted((r["bin"], r["row"], r["col"]) for r in centerline.binned(df, 3.0).where(f"comp = {k}").collect())
+        wide = np.pad(v, 200)
+        at = np.rint([x[1:] for x in line]).astype(int)
+        radius = np.median(kernels.edt(~wide)[0][at[:, 0] + 200, at[:, 1] + 200])
+        window = max(3, round(CONFIG.smoothing_width_multiple * radius))
+        if window < len(at):
+            at = np.stack([np.rint(kernels.moving_average(x, window)) for x in at.T], 1).astype(int)
+        seeds = np.zeros_like(wide)
+        seeds[at[:, 0] + 200, at[:, 1] + 200] = True
+        want = {(int(r) - 200, int(q) - 200) for r, q in np.argwhere(kernels.edt(seeds)[0] <= radius)}
+        assert {(r["prow"], r["pcol"]) for r in got if r["comp"] == k} == want and {r["radius"] for r in got if r["comp"] == k} == {radius}
+
+
+def test_bridges_of_mixed_radii(spark):
+    """Every pair of tips, whatever the segments' radii, against all pairs."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(120):
+        r, q, t = rng.uniform(0, 200), rng.uniform(0, 200), rng.uniform(0, 2 * np.pi)
+        rows.append((k, float(rng.choice([0.1, 1.0, 3.0, 40.0])), [(float(r + j * np.sin(t)), float(q + j * np.cos(t))) for j in range(8)]))
+    df = spark.createDataFrame(rows, "seg_id long, radius double, points array<struct<row:double,col:double>>")
+    tip = {r: (np.array(p[0]), np.array(p[0]) - p[5], np.array(p[-1]), np.array(p[-1]) - p[-6]) for r, _, p in rows}
+    want = {}
+    for a, ra, _ in rows:
+        for b, rb, _ in rows:
+            for pa_, pb in ((1, 1), (1, 0), (0, 1), (0, 0)) if a < b else ():
+                (x, u), (y, v) = tip[a][2 * pa_ : 2 * pa_ + 2], tip[b][2 * pb : 2 * pb + 2]
+                gap = np.hypot(*(y - x))
+                if 0 < gap <= 4 * min(ra, rb) and (y - x) @ u / np.hypot(*u) / gap >= 0.82 and -(y - x) @ v / np.hypot(*v) / gap >= 0.82:
+                    want[a, b] = (pa_, pb)
+    assert {(r["a"], r["b"]): (r["place_a"], r["place_b"]) for r in centerline.bridges(df).collect()} == want and len(want) > 10
+
+
 def test_otsu_of_a_constant(spark):
     px = spark.createDataFrame([("t", 0, c, 0.25) for c in range(5)], "tile string, prow int, pcol int, v double")
     cut = raster.otsu(px, "v").first()["threshold"]
