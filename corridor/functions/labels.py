@@ -23,7 +23,7 @@ def category(highway="highway", bicycle="bicycle", keys=C.CYCLEWAY_KEYS) -> Colu
 def wanted(highway="highway", bicycle="bicycle", keys=C.CYCLEWAY_KEYS) -> Column:
     """Ways that carry any of the tags asked for."""
     out = F.coalesce(F.col(highway).isin(*C.BIKE_LANE_HIGHWAY_VALUES, *C.STREET_HIGHWAY_VALUES), F.lit(False)) | F.coalesce(F.col(bicycle) == "designated", F.lit(False))
-    for k in keys[:1] + keys[1:]:
+    for k in keys:
         out |= F.col(k).isNotNull()
     return out
 
@@ -74,3 +74,8 @@ def reliable(shadow: Column, fraction: Column, c=C.CONFIG) -> Column:
 def within(x: Column, start: Column, end: Column) -> Column:
     """A run holds both its ends."""
     return (x >= start) & (x <= end)
+
+
+def remaining(done: Column, total: Column, elapsed_s: Column) -> Column:
+    """Seconds that the rest takes at the rate so far; null before anything is done."""
+    return F.when(done > 0, elapsed_s / done * (total - done))

@@ -6,13 +6,18 @@ only areas and counts of parts are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor.config import CONFIG
 from corridor.operators import kernels, raster
 
 
+def growth(before: Column, after: Column) -> Column:
+    """By how many percent an area grew; nothing counts as one unit."""
+    return (after / F.greatest(before, F.lit(1)) - 1) * 100
+
+
 def _account(mask: DataFrame, gsd: float, least_m2: float | None, name: str) -> tuple[DataFrame, DataFrame]:
     parts = raster.components(mask)
     if least_m2:
@@ -39,4 +44,5 @@ def dissolve(mask: DataFrame, frame: DataFrame, gsd: float, opening: bool = Fals
         (F.col("area_after") - F.col("area_before")).alias("area_added"),
         F.coalesce(F.col("area_after") - F.col("area_open"), F.lit(0.0)).alias("area_removed"),
         (F.col("parts_before") - F.col("parts_after")).alias("parts_joined"),
+        growth(F.col("area_before"), F.col("area_after")).alias("growth_percent"),
     )

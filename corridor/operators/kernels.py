@@ -242,21 +242,62 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def clip_to_box(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
-    """A ring (without repeated last point) inside x0, y0, x1, y1, side by side."""
-    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
-        if not len(ring):
+def pieces_beyond(ring: np.ndarray, axis: int, limit: float, sign: int) -> list[np.ndarray]:
+    """The pieces of a simple ring on one side of a line across an axis.
+
+    Along the line the ring's crossings bound the pieces in pairs: where the ring leaves, a
+    piece goes on to that crossing's partner and follows the ring from there.
+    """
+    off = (ring[:, axis] - limit) * sign
+    inside, n = off >= 0, len(ring)
+    if inside.all():
+        return [ring]
+    if not inside.any():
+        return []
+    chains, cuts = [], []  # points from an entry to the next exit; (place along the line, chain, whether it is the entry)
+    start = next(k for k in range(n) if inside[k] and not inside[k - 1])
+    k = start
+    while True:
+        p, q = ring[k - 1], ring[k]
+        enter = p + (q - p) * (off[k - 1] / (off[k - 1] - off[k]))
+        points = [enter]
+        while inside[k]:
+            points.append(ring[k])
+            k = (k + 1) % n
+        p, q = ring[k - 1], ring[k]
+        leave = p + (q - p) * (off[k - 1] / (off[k - 1] - off[k]))
+        points.append(leave)
+        cuts += [(enter[1 - axis], len(chains), True), (leave[1 - axis], len(chains), False)]
+        chains.append(points)
+        while not inside[k]:
+            k = (k + 1) % n
+        if k == start:
             break
-        off = (ring[:, axis] - limit) * sign
-        out = []
-        for k in range(len(ring)):
-            p, q, a, b = ring[k - 1], ring[k], off[k - 1], off[k]
-            if (a >= 0) != (b >= 0):
-                out.append(p + (q - p) * (a / (a - b)))
-            if b >= 0:
-                out.append(q)
-        ring = np.array(out).reshape(-1, 2)
-    return ring
+    cuts.sort()
+    partner = {}
+    for a, b in zip(cuts[::2], cuts[1::2]):
+        partner[a[1:]], partner[b[1:]] = b[1:], a[1:]
+    out, done = [], set()
+    for c in range(len(chains)):
+        piece, at = [], c
+        while at not in done:
+            done.add(at)
+            piece += chains[at]
+            to, entry = partner[at, False]
+            if not entry:  # crossings in one place: the ring touches itself on the line
+                break
+            at = to
+        if piece:
+            out.append(np.array(piece))
+    return out
+
+
+def pieces_in_box(ring: np.ndarray, box: tuple[float, float, float, float]) -> list[np.ndarray]:
+    """The pieces of a simple ring (without repeated last point) inside x0, y0, x1, y1, side by side."""
+    pieces = [ring] if len(ring) else []
+    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        pieces = [q for p in pieces for q in pieces_beyond(p, axis, limit, sign)]
+    return pieces
 
 
 def ring_area(ring: np.ndarray) -> float:

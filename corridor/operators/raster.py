@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corridor.config import pixels_of
+from corridor.config import CONFIG, pixels_of
 from corridor.operators import kernels
-from corridor.sources.store import materialise
+from corridor.sources.store import materialise, small
 
 BLOCK = 512
 
@@ -81,7 +81,7 @@ def closing(mask: DataFrame, radius: int, frame: DataFrame, block: int = BLOCK)
     # a closed pixel lies within the radius of the mask, and what decides on it within twice that
     out = apply_blocks(mask.select("tile", "prow", "pcol"), [], kernel, "inside boolean", 2 * radius, block)
     r = radius
-    return out.join(F.broadcast(frame), "tile").where(f"prow >= {r} AND pcol >= {r} AND prow < height - {r} AND pcol < width - {r}").select("tile", "prow", "pcol")
+    return out.join(small(frame), "tile").where(f"prow >= {r} AND pcol >= {r} AND prow < height - {r} AND pcol < width - {r}").select("tile", "prow", "pcol")
 
 
 def frame(pixels: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def histogram(pixels: DataFrame, value: str, bins: int = 256) -> DataFrame:
     ends = ends.select("tile", F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     width = F.col("hi") - F.col("lo")
     place = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / width * bins)).cast("int")
-    n = pixels.join(F.broadcast(ends), "tile").groupBy("tile", place.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    n = pixels.join(small(ends), "tile").groupBy("tile", place.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     return n.select("tile", "bin", "n", (F.col("lo") + (F.col("bin") + 0.5) * width / bins).alias("centre"))
 
 
@@ -273,7 +273,7 @@ def shadow_mask(pixels: DataFrame, road) -> DataFrame:
 
     values = pixels.where(road).withColumn("excess", color.blue_excess("r", "b"))
     cut = otsu(values, "excess")
-    return values.join(F.broadcast(cut), "tile").where(F.col("excess") >= F.col("threshold")).select("tile", "prow", "pcol")
+    return values.join(small(cut), "tile").where(F.col("excess") >= F.col("threshold")).select("tile", "prow", "pcol")
 
 
 def clean_mask(mask: DataFrame, frame_: DataFrame, gsd: float, closing_m: float, area_m2: float) -> DataFrame:
@@ -329,3 +329,34 @@ def correct_shadows(pixels: DataFrame, gsd: float, c) -> DataFrame:
     out = px.join(more, key, "left")
     level = lambda b: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(b) + F.coalesce(f"more_{b}", F.lit(0.0)))).cast("int")
     return out.select(*key, *[level(b).alias(b) for b in BANDS])
+
+
+def filter_tile(pixels: DataFrame, gsd: float, shadows: str = "none", boost: bool = True, c=CONFIG) -> DataFrame:
+    """(tile, prow, pcol, r, g, b, nir, class, shadow): the image where a lane or street is, its class, its shadow.
+
+    ``pixels`` has the flags bikelane and street.  Shadow is found in both, closed and sifted.
+    Shaded pixels are left as they are (none), lifted (correct; those of the closing outside
+    lane and street are not), or go with a margin around them (cut).  With ``boost`` red paint is made redder.
+    """
+    from corridor.functions import color
+
+    key = ["tile", "prow", "pcol"]
+    px = materialise(pixels.select(*key, *BANDS, "bikelane", "street"), "image")
+    px = px.withColumn("road", F.col("bikelane") | F.col("street"))
+    dark = materialise(clean_mask(shadow_mask(px, F.col("road")), frame(px), gsd, c.shadow_closing_m, c.min_shadow_m2), "dark")
+    px = px.join(dark.withColumn("shadow", F.lit(True)), key, "left").withColumn("shadow", F.coalesce("shadow", F.lit(False)))
+    if shadows == "cut":
+        near = dilation(dark, kernels.disk(pixels_of(c.shadow_cut_margin_m, gsd))).withColumn("gone", F.lit(True))
+        px = px.join(near, key, "left")
+        px = px.withColumns({f: F.col(f) & F.col("gone").isNull() for f in ("bikelane", "street", "road")}).drop("gone")
+    elif shadows == "correct":
+        px = materialise(px, "flags")
+        px = px.drop(*BANDS).join(correct_shadows(px, gsd, c), key)
+    elif shadows != "none":
+        raise ValueError(f"shadows are none, correct or cut, not {shadows}")
+    if boost:
+        px = px.withColumns(color.hsv()).withColumn("s", color.boosted_saturation(F.col("h"), F.col("s"), F.col("road"), c))
+        fits = F.col("road") & (color.red_distance(F.col("h")) <= c.red_hue_tolerance)
+        px = px.withColumns({b: F.when(fits, v).otherwise(F.col(b)).cast("int") for b, v in color.rgb(F.col("h"), F.col("s"), F.col("v")).items()}).drop("h", "s", "v")
+    bands = [color.nodata(F.col(b), F.col("road")).cast("int").alias(b) for b in BANDS]
+    return px.select(*key, *bands, color.classify(F.col("bikelane"), F.col("street")).alias("class"), F.col("shadow").cast("int").alias("shadow"))

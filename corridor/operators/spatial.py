@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corridor.config import CONFIG
 from corridor.functions import geometry as G
 from corridor.functions import labels
+from corridor.sources.store import materialise
 
 
 def cell(x: Column, size: float) -> Column:
@@ -30,22 +31,29 @@ def segment_cells(rows: DataFrame, distance: float, size: float) -> DataFrame:
 
 
 def near_segments(points: DataFrame, segments: DataFrame, distance: float, size: float | None = None) -> DataFrame:
-    """Pairs of a point (px, py) and a segment (x0, y0, x1, y1) at most ``distance`` apart, with ``separation``."""
+    """Pairs of a point (px, py) and a segment (x0, y0, x1, y1) at most ``distance`` apart, with ``separation``; of one tile, if both have one."""
     size = size or max(distance, 1.0)
     p = points.withColumns({"cx": cell(F.col("px"), size), "cy": cell(F.col("py"), size)})
     s = segment_cells(segments, distance, size)
     d = G.segment_distance(*[F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")])
-    return p.join(s, ["cx", "cy"]).withColumn("separation", d).where(F.col("separation") <= distance).drop("cx", "cy")
+    on = [*(["tile"] if "tile" in points.columns and "tile" in segments.columns else []), "cx", "cy"]
+    return p.join(s, on).withColumn("separation", d).where(F.col("separation") <= distance).drop("cx", "cy")
 
 
 def covered(pixels: DataFrame, segments: DataFrame, reach: str, most: float) -> DataFrame:
-    """Pixels whose centre lies within the segment's own ``reach`` (at most ``most``) of any segment: a buffer drawn as a mask."""
+    """Pixels whose centre lies within the segment's own ``reach`` (at most ``most``) of any segment: a buffer drawn as a mask.
+
+    Segments are in pixels, of a tile or, without that column, of every tile.
+    """
     size = max(most, 1.0)
     p = pixels.select("tile", "prow", "pcol", (F.col("pcol") + 0.5).alias("px"), (F.col("prow") + 0.5).alias("py"))
     p = p.withColumns({"cx": cell(F.col("px"), size), "cy": cell(F.col("py"), size)})
-    s = segment_cells(segments.where(F.col(reach) <= most), most, size).select("cx", "cy", *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")], F.col(reach).alias("s_reach"))
+    s = segment_cells(segments.where(F.col(reach) <= most), most, size).select("cx", "cy", *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")], F.col(reach).alias("s_reach"), *[F.col("tile").alias("s_tile") for _ in range("tile" in segments.columns)])
     d = G.segment_distance(F.col("px"), F.col("py"), F.col("s_x0"), F.col("s_y0"), F.col("s_x1"), F.col("s_y1"))
-    return p.join(s, (p["cx"] == s["cx"]) & (p["cy"] == s["cy"]) & (d <= F.col("s_reach")), "left_semi").select("tile", "prow", "pcol")
+    same = (p["cx"] == s["cx"]) & (p["cy"] == s["cy"])
+    if "s_tile" in s.columns:
+        same &= p["tile"] == s["s_tile"]
+    return p.join(s, same & (d <= F.col("s_reach")), "left_semi").select("tile", "prow", "pcol")
 
 
 def clip(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -84,22 +92,47 @@ def sections(lanes: DataFrame, interval: float = CONFIG.section_interval_m) -> D
     """Candidate sections of lanes with their direction."""
     rows = samples(lanes, interval)
     tx, ty = tangent()
-    return rows.select("lane_id", "k", "offset_m", "px", "py", tx.alias("tx"), ty.alias("ty"))
+    return rows.select(*[c for c in ("tile",) if c in lanes.columns], "lane_id", "k", "offset_m", "px", "py", tx.alias("tx"), ty.alias("ty"))
+
+
+RINGS = (0.25, 1.0)  # shares of the largest distance: most sections have a road in the first
+
+
+def _nearest(sections_: DataFrame, r: DataFrame, reach: float, key: list[str], c) -> DataFrame:
+    """(key, separation, feature_id, highway, angle, road_x, road_y) of the nearest acceptable road within ``reach``."""
+    pairs = near_segments(sections_, r, reach).where(F.col("separation") > c.min_lane_to_road_m)
+    angle = G.acute_angle(F.col("tx"), F.col("ty"), F.col("ux"), F.col("uy"))
+    pairs = pairs.withColumn("angle", angle).where(F.col("angle") <= c.max_road_angle_deg)
+    t = G.along(*[F.col(x) for x in ("px", "py", "x0", "y0", "x1", "y1")])
+    place = [(F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("road_x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("road_y")]
+    best = pairs.groupBy(*key).agg(F.min(F.struct("separation", "feature_id", "angle", *place)).alias("f")).select(*key, "f.*")
+    return best
 
 
 def reference_road(sections_: DataFrame, roads: DataFrame, c=CONFIG) -> DataFrame:
     """Each section with its nearest road of a class not excluded, at the right distance and angle, or nulls.
 
-    Of equally near roads the one with the smallest id.
+    Of equally near roads the one with the smallest id.  Sections look in a near ring
+    first, and only those that find nothing there in the whole distance.  Roads with
+    ``points`` are polylines.
     """
+    if "points" in roads.columns:
+        from corridor.operators import lines
+
+        return lines.reference_road(sections_, roads, c)
+    key = [x for x in ("tile", "lane_id", "k") if x in sections_.columns]
     r = roads.where(~F.coalesce(F.col("highway").isin(*c.excluded_classes), F.lit(False)))
     ux, uy = G.unit(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    r = r.select("feature_id", "highway", "x0", "y0", "x1", "y1", ux.alias("ux"), uy.alias("uy"))
-    pairs = near_segments(sections_, r, c.max_lane_to_road_m).where(F.col("separation") > c.min_lane_to_road_m)
-    angle = G.acute_angle(F.col("tx"), F.col("ty"), F.col("ux"), F.col("uy"))
-    pairs = pairs.withColumn("angle", angle).where(F.col("angle") <= c.max_road_angle_deg)
-    t = G.along(*[F.col(x) for x in ("px", "py", "x0", "y0", "x1", "y1")])
-    pairs = pairs.withColumns({"road_x": F.col("x0") + t * (F.col("x1") - F.col("x0")), "road_y": F.col("y0") + t * (F.col("y1") - F.col("y0"))})
-    found = F.struct("separation", "feature_id", "highway", "angle", "road_x", "road_y")
-    best = pairs.groupBy("lane_id", "k").agg(F.min(found).alias("f")).select("lane_id", "k", "f.*")
-    return sections_.join(best, ["lane_id", "k"], "left").withColumn("road_width", F.when(F.col("feature_id").isNotNull(), labels.road_width()))
+    own = [x for x in ("tile",) if x in roads.columns and x in key]
+    classes = r.select(*own, "feature_id", "highway")
+    r = r.select(*own, "feature_id", "x0", "y0", "x1", "y1", ux.alias("ux"), uy.alias("uy")).where("ux IS NOT NULL")
+    todo, best = sections_, None
+    for share in RINGS:
+        got = _nearest(todo, r, share * c.max_lane_to_road_m, key, c)
+        if share < RINGS[-1]:
+            got = materialise(got, "near")
+            todo = todo.join(got.select(*key), key, "left_anti")
+        best = got if best is None else best.unionByName(got)
+    best = best.join(classes, [*own, "feature_id"])
+    out = sections_.join(best, key, "left").withColumn("road_width", F.when(F.col("feature_id").isNotNull(), labels.road_width()))
+    return out.select(*sections_.columns, "separation", "feature_id", "highway", "angle", "road_x", "road_y", "road_width")

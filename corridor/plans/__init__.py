@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("gap", "pixel", "network", "embedding", "profile", "detect", "chips", "flow", "detectors")
+MODULES: tuple[str, ...] = ("gap", "pixel", "network", "embedding", "profile", "detect", "chips", "flow", "detectors", "tiles")
 
 
 def _gather(name: str) -> dict:

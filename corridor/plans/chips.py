@@ -52,7 +52,7 @@ def chip_labels(spark, sf_dir):
 
 
 def chip_areas(spark, sf_dir):
-    """Area of each instance's part in each chip: a right triangle against a box stays convex, so areas add up."""
+    """Areas of the instances' parts in chips, by tile."""
     out = dataset.clip(dataset.by_chip(placed(spark, sf_dir), chip_grid(spark, sf_dir)))
     return out.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 3).alias("area"))
 
@@ -77,7 +77,7 @@ def dataset_export(spark, sf_dir):
 _T = f"{A}, tiles AS ({TILES.replace('{annotations}', 'annotations')})"
 _I = f"""{_T}, p AS (SELECT stem, line_no, string_split(trim(line), ' ') AS v FROM annotations WHERE trim(line) <> ''),
     i AS (SELECT stem, line_no, v[1]::INT AS class_id, list_transform(v[2:], lambda x: x::DOUBLE) AS v FROM p WHERE len(v) >= 7)"""
-_C = """chips AS (SELECT stem, printf('%s_%05d_%05d', stem, x0::INT, y0::INT) AS chip, x0::INT AS x0, y0::INT AS y0, least(640, width - x0)::INT AS w, least(640, height - y0)::INT AS h
+_C = """chips AS (SELECT stem, printf('%s_%d_%d', stem, x0::INT, y0::INT) AS chip, x0::INT AS x0, y0::INT AS y0, least(640, width - x0)::INT AS w, least(640, height - y0)::INT AS h
     FROM (SELECT *, unnest(range(0, height, 576)) AS y0 FROM (SELECT *, unnest(range(0, width, 576)) AS x0 FROM tiles)))"""
 QUERIES = {f.__name__: f for f in (label_parse, missing_tiles, class_counts, chip_grid, chip_instances_bbox, chip_labels, chip_areas, train_val_split, dataset_export)}
 ORACLES = {
@@ -86,5 +86,11 @@ ORACLES = {
     "class_counts": f"{_I} SELECT class_id, count(*) AS n, count(DISTINCT stem) AS stems FROM i GROUP BY 1",
     "chip_grid": f"{_T}, {_C} SELECT * FROM chips",
     "chip_instances_bbox": f"{_I}, {_C}, b AS (SELECT stem, line_no, class_id, least(v[1], v[3], v[5]) * 1000 AS bx0, greatest(v[1], v[3], v[5]) * 1000 AS bx1, least(v[2], v[4], v[6]) * 900 AS by0, greatest(v[2], v[4], v[6]) * 900 AS by1 FROM i) SELECT chip, line_no, class_id FROM b JOIN chips USING (stem) WHERE bx1 > x0 AND bx0 < x0 + w AND by1 > y0 AND by0 < y0 + h",
-    "train_val_split": f"{_T}, {_C}, r AS (SELECT chip, row_number() OVER (ORDER BY stem, chip) AS r, count(*) OVER () AS n FROM chips) SELECT chip, CASE WHEN r > n - CASE WHEN n > 1 THEN least(greatest(1, round_even(n * 0.2, 0)), n - 1) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM r",
+    # under a right triangle's slope, cut at the chip's sides: a part below the chip's top and a part that reaches it
+    "chip_areas": f"""{_I}, {_C}, b AS (SELECT stem, line_no, v[1] * 1000 AS ux, v[2] * 900 AS vy FROM i),
+        j AS (SELECT b.stem, ux, vy, greatest(x0, ux) AS l, least(x0 + w, ux + 62.5) AS r, greatest(y0, vy) AS lo, (y0 + h)::DOUBLE AS hi FROM b JOIN chips USING (stem) WHERE ux < x0 + w AND ux + 62.5 > x0 AND vy < y0 + h AND vy + 84.375 > y0),
+        k AS (SELECT *, ux + (lo - vy) / 1.35::DOUBLE AS xa, ux + (hi - vy) / 1.35::DOUBLE AS xb FROM j),
+        a AS (SELECT stem, CASE WHEN least(r, xb) > greatest(l, xa) THEN 0.675::DOUBLE * (pow(least(r, xb) - xa, 2) - pow(greatest(l, xa) - xa, 2)) ELSE 0 END + CASE WHEN r > greatest(l, xb) THEN (r - greatest(l, xb)) * (hi - lo) ELSE 0 END AS area FROM k)
+        SELECT stem, count(*) AS n, round(sum(area), 3) AS area FROM a WHERE area > 0 GROUP BY 1""",
+    "train_val_split": f"{_T}, {_C}, r AS (SELECT chip, row_number() OVER (ORDER BY chip) AS r, count(*) OVER () AS n FROM chips) SELECT chip, CASE WHEN r > n - CASE WHEN n > 1 THEN least(greatest(1, round_even(n * 0.2, 0)), n - 1) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM r",
 }

@@ -212,6 +212,9 @@ ORACLES = {
     "bridge_pairs": f"{_TIPS} SELECT a, b, round(gap, 6) AS gap, place_a, place_b FROM j WHERE gap > 0 AND gap <= 4 * radius AND da / gap >= 0.82 AND db / gap >= 0.82 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY place_a, place_b) = 1",
     # by hand: the road's half width is 2.75 m, the lane's mask begins 4.00 m from the road's line
     "gap_records": "SELECT 'lane:0' AS lane_id, k::INT AS k, k * 2.0::DOUBLE AS offset_m, 5.02::DOUBLE AS osm_separation_m, NULL::VARCHAR AS skip, 4.0::DOUBLE - 5.5 / 2 AS gap_m, 'vegetation' AS composition, 2.75::DOUBLE AS road_edge_m, 4.0::DOUBLE AS lane_edge_m, 0.0::DOUBLE AS shadow_fraction, true AS reliable FROM range(0, 20) t(k)",
+    "texture_descriptor": f"""{P}, h AS (SELECT max(prow) AS h, max(pcol) AS w FROM pixels), w AS (SELECT r::INT AS win_row, c::INT AS win_col FROM h, range(0, h.h + 1, 11) a(r), range(0, h.w + 1, 11) b(c) WHERE r + 22 <= h.h + 1 AND c + 22 <= h.w + 1)
+        SELECT tile, win_row, win_col, round(avg(r / 255::DOUBLE), 6) AS e0, round(stddev_pop(r / 255::DOUBLE), 6) AS e1, round(avg(g / 255::DOUBLE), 6) AS e2, round(stddev_pop(g / 255::DOUBLE), 6) AS e3, round(avg(b / 255::DOUBLE), 6) AS e4, round(stddev_pop(b / 255::DOUBLE), 6) AS e5
+        FROM pixels JOIN w ON prow >= win_row AND prow < win_row + 22 AND pcol >= win_col AND pcol < win_col + 22 GROUP BY 1, 2, 3 HAVING max(greatest(r, g, b)) > 0""",
     "way_width_aggregate": _WAYS,
     "top_ways": f"SELECT way_id, n_samples, width_median_m FROM ({_WAYS}) ORDER BY n_samples DESC, way_id LIMIT 20",
 }

@@ -22,10 +22,12 @@ def stream_event_totals(spark, sf_dir):
 def stream_hourly(spark, sf_dir):
     """Windows of an hour by event time, each event once."""
     stream = tiles.read(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
-    name = f"hourly_{uuid.uuid4().hex}"
-    query = tiles.arrivals(stream, "ts").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{store.shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    path = f"{store.shared_dir(spark)}/hourly_{uuid.uuid4().hex}"
+    # in complete mode a batch has all windows: the last one written is the result
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table")
+    query = tiles.arrivals(stream, "ts").writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.table(name)
+    out = spark.read.parquet(f"{path}/table")
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -34,6 +34,10 @@ RELATIONS = {
         SELECT concat(CAST(k AS STRING), ':0') AS lane_id, CAST((53 * k) % 200 AS DOUBLE) AS x0, CAST((17 * k) % 200 AS DOUBLE) AS y0,
                CAST((53 * (k + 1)) % 200 AS DOUBLE) AS x1, CAST((17 * (k + 1)) % 200 AS DOUBLE) AS y1
         FROM (SELECT c_custkey AS k FROM {customer}) c""",
+    # polylines of five points: one per supplier
+    "path_points": """
+        SELECT path_id, j, CAST((37 * path_id) % 200 + 6 * j + (path_id * j) % 5 AS DOUBLE) AS x, CAST((91 * path_id) % 200 + 3 * ((j * j) % 7) - (path_id % 3) * j AS DOUBLE) AS y
+        FROM (SELECT s_suppkey AS path_id FROM {supplier}) s CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) q""",
     # profiles across a road: the events of a user in the order of time
     "profiles": """
         SELECT user_id AS section_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS i,

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
-from corridor.operators import detect
+from corridor.functions import labels
+from corridor.operators import detect, dissolve
 from corridor.plans import detectors as D
-from corridor.sources import formats
+from corridor.sources import formats, store
 
 
 def test_texture_finds_the_lane(spark):
@@ -59,6 +62,30 @@ def test_own_model(spark):
     assert len(rows) == 6 and all(np.allclose(r["embedding"], [100 / 255] * 3) for r in rows)
 
 
+def test_centerlines_of_two_tiles(spark):
+    """Component numbers repeat from tile to tile; their lanes do not merge."""
+    px = D.phantom(spark, SF).where("lane").select("prow", "pcol")
+    both = px.selectExpr("'a' AS tile", "prow", "pcol").unionByName(px.selectExpr("'b' AS tile", "prow + 20 AS prow", "pcol"))
+    rows = detect.centerlines(both, (0.1, -0.1, 0.0, 20.0), 0.1, 800).collect()
+    assert len({r["lane_id"] for r in rows}) == 2 and {round(r["y"], 6) for r in rows if r["tile"] == "a"} == {5.05} and {round(r["y"], 6) for r in rows if r["tile"] == "b"} == {3.05}
+
+
+def test_paths_and_masks(spark, tmp_path):
+    stems = spark.createDataFrame([("t1",), ("t2",)], "stem string")
+    assert {r["stem"]: r["path"] for r in store.raw_path(stems, "/in/t1.jp2", "/archive").collect()} == {"t1": "/in/t1.jp2", "t2": "/archive/t2.jp2"}
+    masks = spark.createDataFrame([("t2", "/m/t2")], "stem string, mask_path string")
+    assert {r["stem"]: r["mask_path"] for r in store.mask_paths(stems, masks).collect()} == {"t1": None, "t2": "/m/t2"}
+    spark.createDataFrame([("t", 0, 0, 0.5), ("t", 0, 1, 0.6), ("t", 1, 0, 1.0)], "tile string, prow int, pcol int, value double").write.parquet(str(tmp_path / "mask"))
+    assert {(r["prow"], r["pcol"]) for r in store.lane_mask(spark, str(tmp_path / "mask")).collect()} == {(0, 1), (1, 0)}
+    roads = spark.createDataFrame([(1, 3, 5.0)], "way_id long, n_samples long, width_median_m double")
+    store.save_vectors(roads, "roads", str(tmp_path / "roads"))
+    assert spark.read.parquet(str(tmp_path / "roads")).count() == 1
+    with pytest.raises(ValueError, match="lane_id"):
+        store.save_vectors(roads, "lanes", str(tmp_path / "lanes"))
+    left = spark.range(1).select(labels.remaining(F.lit(4.0), F.lit(10.0), F.lit(6.0)).alias("a"), labels.remaining(F.lit(0.0), F.lit(10.0), F.lit(6.0)).alias("b"), dissolve.growth(F.lit(50.0), F.lit(60.0)).alias("c"), dissolve.growth(F.lit(0.0), F.lit(3.0)).alias("d")).first()
+    assert left["a"] == 9 and left["b"] is None and abs(left["c"] - 20) < 1e-9 and left["d"] == 200
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.jp2.aux.xml").write_text(
         '<PAMDataset><PAMRasterBand band="1"><Metadata><MDI key="STATISTICS_MAXIMUM">255</MDI><MDI key="STATISTICS_MEAN">99.5</MDI></Metadata></PAMRasterBand>'

@@ -128,9 +128,31 @@ def test_peaks_by_hand():
     assert (left, right) == (1.0, 3.0)
 
 
+def test_concave_rings_fall_into_pieces():
+    comb = np.array([(0, 0), (9, 0), (9, 6), (7, 6), (7, 2), (5, 2), (5, 6), (3, 6), (3, 2), (1, 2), (1, 6), (0, 6.0)])
+    pieces = K.pieces_in_box(comb, (0, 3, 9, 5))
+    assert sorted(K.ring_area(p) for p in pieces) == [2, 4, 4]
+    assert sorted(K.ring_area(p) for p in K.pieces_in_box(comb[::-1], (0, 3, 9, 5))) == [2, 4, 4]
+    assert [K.ring_area(p) for p in K.pieces_in_box(comb, (-1, -1, 10, 1))] == [9]
+    rng = np.random.default_rng(5)
+    for _ in range(60):  # star-shaped rings: the area of the pieces is that of the points inside both
+        a = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        ring = np.stack([5 + rng.uniform(1, 5, 9) * np.cos(a), 5 + rng.uniform(1, 5, 9) * np.sin(a)], 1)
+        x0, y0 = rng.uniform(2, 5, 2)
+        x1, y1 = x0 + rng.uniform(1, 4), y0 + rng.uniform(1, 4)
+        g = (np.arange(400) + 0.5) / 400
+        px, py = (v.ravel() for v in np.meshgrid(x0 + g * (x1 - x0), y0 + g * (y1 - y0)))
+        inside = np.zeros(len(px), bool)
+        for (xa, ya), (xb, yb) in zip(ring, np.roll(ring, -1, 0)):
+            cross = (ya > py) != (yb > py)
+            inside ^= cross & (px < xa + (py - ya) / np.where(yb == ya, 1, yb - ya) * (xb - xa))
+        pieces = K.pieces_in_box(ring, (x0, y0, x1, y1))
+        assert abs(sum(map(K.ring_area, pieces)) - inside.mean() * (x1 - x0) * (y1 - y0)) < 0.02 * (x1 - x0) * (y1 - y0) + 0.01
+
+
 def test_polygons_and_lines():
     ring = np.array([(0, 0), (10, 0), (10, 10), (0, 10.0)])
-    assert K.ring_area(K.clip_to_box(ring, (5, 5, 20, 20))) == 25 and K.ring_area(K.clip_to_box(ring, (11, 11, 20, 20))) == 0
+    assert [K.ring_area(p) for p in K.pieces_in_box(ring, (5, 5, 20, 20))] == [25] and K.pieces_in_box(ring, (11, 11, 20, 20)) == []
     p = np.array([(0, 0), (1, 0.1), (2, 0), (3, 2), (4, 0.0)])
     assert K.simplify(p, 0.5).tolist() == [[0, 0], [2, 0], [3, 2], [4, 0]]
     r, c = K.bresenham(0, 0, 2, 4)

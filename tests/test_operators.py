@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corridor.config import CONFIG
 from corridor.functions import color, geometry, labels
-from corridor.operators import centerline, dataset, dissolve, kernels, raster, report, sections, series, spatial, widths
+from corridor.operators import centerline, dataset, dissolve, kernels, lines, raster, report, sections, series, spatial, widths
 from corridor.plans import detect
 from corridor.sources import store
 
@@ -266,10 +266,118 @@ def test_annotations(spark):
     cut = dataset.clip(dataset.by_chip(dataset.denormalise(have, 1000, 700), chips)).collect()
     assert all(len(r["label"].split()) >= 7 for r in cut)
     whole = 0.5 * 400 * 560
-    top = next(r for r in cut if r["chip"].endswith("00000_00000"))
+    top = next(r for r in cut if r["chip"] == "a_0_0")
+    assert all(r["label"].split()[1:3] == r["label"].split()[-2:] for r in cut)
     assert abs(top["area"] - whole) < 1e-6 and {"val", "train"} == {r["split"] for r in dataset.split(chips).collect()}
 
 
+def test_split_is_by_name(spark):
+    """As text: a_1000_0 comes before a_576_0, and a stem that begins another comes in between."""
+    names = [f"{s}_{x}_{y}" for s in ("a", "a_1", "b") for x in (0, 576, 1152, 1000) for y in (0, 576)]
+    chips = spark.createDataFrame([(n.rsplit("_", 2)[0], n) for n in names], "stem string, chip string")
+    got = {r["chip"] for r in dataset.split(chips).where("split = 'val'").collect()}
+    assert got == set(sorted(names)[-5:])
+
+
+def test_image_chips(spark):
+    tiles = spark.createDataFrame([("a", 70, 50)], "stem string, width int, height int")
+    images = spark.createDataFrame([("a", r, c, r, c, (r + c) % 256) for r in range(50) for c in range(70)], "stem string, prow int, pcol int, r int, g int, b int")
+    grid_ = dataset.chips(tiles, 32, 8).withColumn("split", F.lit("train"))
+    got = dataset.image_chips(images, grid_, 32).collect()
+    want = {r["chip"]: r for r in grid_.collect()}
+    assert {r["chip"] for r in got} == set(want)
+    for r in got:
+        x = np.frombuffer(r["rgb"], np.uint8).reshape(r["h"], r["w"], 3)
+        c = want[r["chip"]]
+        rows, cols = np.mgrid[c["y0"] : c["y0"] + c["h"], c["x0"] : c["x0"] + c["w"]]
+        assert (x == np.stack([rows, cols, (rows + cols) % 256], 2)).all()
+
+
+def plain_line(points, s):
+    left = s
+    for (x0, y0), (x1, y1) in zip(points, points[1:]):
+        n = np.hypot(x1 - x0, y1 - y0)
+        if left < n or (x1, y1) == points[-1]:
+            t = min(left / n, 1.0) if n else 0.0
+            return np.array([x0 + t * (x1 - x0), y0 + t * (y1 - y0)])
+        left -= n
+
+
+def test_polylines(spark):
+    """Places, directions, projections and nearest streets on bent lines, against walking along them."""
+    rng = np.random.default_rng(9)
+    shapes = {k: [tuple(map(float, p)) for p in np.cumsum(rng.uniform(-4, 8, (rng.integers(2, 7), 2)), 0) + rng.uniform(0, 60, 2)] for k in range(25)}
+    df = spark.createDataFrame([(k, [v]) for k, v in shapes.items()], "feature_id long, parts array<array<struct<x:double,y:double>>>")
+    flat = lines.flatten(df)
+    assert {r["line_id"] for r in flat.collect()} == {f"{k}:0" for k in shapes}
+    total = {k: sum(np.hypot(*np.subtract(b, a)) for a, b in zip(v, v[1:])) for k, v in shapes.items()}
+    got = lines.samples(flat, 2.0).collect()
+    assert len(got) == sum(int(np.ceil(n / 2)) for n in total.values())
+
+    def direction(k, s):
+        d = plain_line(shapes[k], min(total[k], s + 2.5)) - plain_line(shapes[k], max(0.0, s - 2.5))
+        return d / np.hypot(*d)
+
+    for r in got:
+        k = r["feature_id"]
+        assert np.allclose((r["px"], r["py"]), plain_line(shapes[k], r["offset_m"])) and np.allclose((r["tx"], r["ty"]), direction(k, r["offset_m"]))
+    lanes = flat.where("feature_id < 8").select(F.lit("t").alias("tile"), F.col("line_id").alias("lane_id"), "points")
+    roads = flat.where("feature_id >= 8").select("feature_id", "points", F.lit("residential").alias("highway"))
+    found = {(r["lane_id"], r["k"]): r for r in spatial.reference_road(lines.samples(lanes, 2.0), roads).collect()}
+    assert len(found) == sum(int(np.ceil(total[k] / 2)) for k in range(8))
+    some = 0
+    for (lane, _), r in found.items():
+        p, own = np.array([r["px"], r["py"]]), np.array([r["tx"], r["ty"]])
+        best = None
+        for k in range(8, 25):
+            at, near = 0.0, (np.inf, 0.0)
+            for a, b in zip(shapes[k], shapes[k][1:]):
+                a, b = np.array(a), np.array(b)
+                t = np.clip((p - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+                near = min(near, (np.hypot(*(p - a - t * (b - a))), at + t * np.hypot(*(b - a))))
+                at += np.hypot(*(b - a))
+            angle = np.degrees(np.arccos(min(1.0, abs(own @ direction(k, near[1])))))
+            if 0.5 < near[0] <= 20 and angle <= 35 and (best is None or near[0] < best[0]):
+                best = (near[0], k)
+        assert (r["feature_id"] is None) == (best is None) and (best is None or (abs(r["separation"] - best[0]) < 1e-9 and r["feature_id"] == best[1]))
+        some += best is not None
+    assert some > 10
+
+
+def test_nearest_road_rings(spark):
+    """The near ring never hides a nearer road, and far sections look further."""
+    rng = np.random.default_rng(11)
+    seg = lambda n, size: [(k, *map(float, a), *map(float, a + rng.uniform(-size, size, 2))) for k, a in enumerate(rng.uniform(0, 120, (n, 2)))]
+    lanes, roads = seg(40, 15), seg(25, 30)
+    l_ = spark.createDataFrame([(str(k), *r) for k, *r in lanes], "lane_id string, x0 double, y0 double, x1 double, y1 double")
+    r_ = spark.createDataFrame([(*r, "primary") for r in roads], "feature_id long, x0 double, y0 double, x1 double, y1 double, highway string")
+    got = spatial.reference_road(spatial.sections(l_, 4.0), r_).collect()
+    near = 0
+    for r in got:
+        p, own, best = np.array([r["px"], r["py"]]), np.array([r["tx"], r["ty"]]), None
+        for k, x0, y0, x1, y1 in roads:
+            a, d = np.array([x0, y0]), np.array([x1 - x0, y1 - y0])
+            t = np.clip((p - a) @ d / (d @ d), 0, 1)
+            sep = np.hypot(*(p - a - t * d))
+            if 0.5 < sep <= 20 and np.degrees(np.arccos(min(1.0, abs(own @ d / np.hypot(*d))))) <= 35:
+                best = min(best or (np.inf, 0), (sep, k))
+        assert (r["feature_id"] is None) == (best is None) and (best is None or r["feature_id"] == best[1])
+        near += best is not None and best[0] < 5
+    assert 0 < near < len(got)
+
+
+def test_filter_tile_branches(spark):
+    px = spark.createDataFrame([("t", r, c, 120 if c < 20 else 60, 100 if c < 20 else 60, 90 if c < 20 else 100, 80, c % 7 == 0, r > 3) for r in range(30) for c in range(40)], "tile string, prow int, pcol int, r int, g int, b int, nir int, bikelane boolean, street boolean")
+    get = lambda mode, boost=False: {(r["prow"], r["pcol"]): r for r in raster.filter_tile(px, 0.5, mode, boost).collect()}
+    none, cut, right = get("none"), get("cut"), get("correct")
+    assert none[10, 30]["shadow"] == 1 and none[10, 30]["class"] == 2 and none[10, 30]["r"] == 60 and none[10, 10]["shadow"] == 0
+    assert none[0, 1]["class"] == 0 and none[0, 1]["r"] == 0 and none[10, 7]["class"] == 1
+    assert cut[10, 30]["class"] == 0 and cut[10, 30]["nir"] == 0 and cut[10, 30]["shadow"] == 1 and cut[10, 10] == none[10, 10]
+    assert right[10, 30]["r"] > 100 and right[10, 30]["shadow"] == 1 and right[10, 5]["r"] == 120
+    red = spark.createDataFrame([("t", 0, c, 150, 100, 100, 80, True, False) for c in range(4)], px.schema)
+    assert {(r["r"], r["g"]) for r in raster.filter_tile(red, 0.5).collect()} == {(150, 59)}
+
+
 def test_split_sizes(spark):
     chips = spark.createDataFrame([("s", f"c{k}") for k in range(8)], "stem string, chip string")
     assert [r["chip"] for r in dataset.split(chips).where("split = 'val'").orderBy("chip").collect()] == ["c6", "c7"]
