@@ -5,7 +5,9 @@ one binary value for each bucket of the hash space, to the bucket's task, which
 sees a key's chunks together and replies with one number per key in the order
 in which they were sent.  What is shuffled is a few large binaries instead of a
 row per key, and a task's memory is bounded by the bucket, whatever a key's
-frequency: a chunk sends a key once.
+frequency: a chunk sends a key once.  A chunk goes over the buckets in which it has
+keys alone, so its work and rows are at most its keys, however many buckets the
+input's size makes: with few keys a bucket the exchange is a row a key, never more.
 """
 
 from __future__ import annotations
@@ -21,56 +23,63 @@ from pyspark.sql import functions as F
 from . import _text
 from ._spark import lean, materialise
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 60_000
 BUCKET_KEYS = 1_000_000  # keys a bucket's task should get
 
+FEW = 32  # so many numbers or fewer are sent as they are
+
 CHUNKS = "chunk long, n_docs int, n_bytes long, ids binary, sizes binary, texts binary"
 SENT = "chunk long, bucket int, blob binary"
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Compressed by byte planes: the high bytes of small numbers take no room."""
+    """Compressed by byte planes: the high bytes of small numbers take no room.  The first byte tells a few plain numbers."""
     import zstandard
 
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T if len(x) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    if len(x) <= FEW:
+        return b"\0" + np.ascontiguousarray(x).tobytes()
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def expand(blob: bytes, dtype) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     dtype = np.dtype(dtype)
-    return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
+    if blob[:1] == b"\0":
+        return np.frombuffer(blob, dtype, offset=1) if len(blob) > 1 else np.zeros(0, dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
 def make(docs: DataFrame, tag: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table of chunks in the shared folder.  A null id is kept as the largest long."""
+    """A table of chunks in the shared folder; which ids are null is kept beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         base, count = TaskContext.get().partitionId() << 20, 0
         press = zstandard.ZstdCompressor(level=3)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal count
-            ids, sizes, data = (np.concatenate(x) for x in zip(*held))
+            ids, none, sizes, data = (np.concatenate(x) for x in zip(*held))
             held.clear()
             count += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + count]), pa.array([len(ids)], pa.int32()), pa.array([len(data)], pa.int64())] + [pa.array([x], pa.binary()) for x in (squeeze(ids), squeeze(sizes), press.compress(data.tobytes()))],
+                [pa.array([base + count]), pa.array([len(ids)], pa.int32()), pa.array([len(data)], pa.int64())] + [pa.array([x], pa.binary()) for x in (join_blobs(squeeze(ids), squeeze(np.packbits(none))), squeeze(sizes), press.compress(data.tobytes()))],
                 names=["chunk", "n_docs", "n_bytes", "ids", "sizes", "texts"],
             )
 
         for batch in batches:
             data, offs = _text.buffers(batch.column("text"))
-            ids = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+            column = batch.column("doc_id")
+            none, ids = column.is_null().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi in _text.slices(offs, CHUNK_BYTES // 2):
-                held.append((ids[lo:hi].astype(np.int64), np.diff(offs[lo : hi + 1]), data[offs[lo] : offs[hi]].copy()))
-                if sum(len(h[2]) for h in held) >= CHUNK_BYTES // 2 or sum(len(h[0]) for h in held) >= CHUNK_DOCS:
+                held.append((ids[lo:hi].astype(np.int64), none[lo:hi], np.diff(offs[lo : hi + 1]), data[offs[lo] : offs[hi]].copy()))
+                if sum(len(h[3]) for h in held) >= CHUNK_BYTES // 2 or sum(len(h[0]) for h in held) >= CHUNK_DOCS:
                     yield close()
         if held:
             yield close()
@@ -78,13 +87,14 @@ def make(docs: DataFrame, tag: str, id_col: str = "doc_id", text_col: str = "tex
     return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), CHUNKS), tag, "uncompressed")
 
 
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bytes, offsets)"""
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, which of them are null, bytes, offsets)"""
     import zstandard
 
     sizes = expand(row["sizes"], np.int64)
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=int(row["n_bytes"])), np.uint8)
-    return expand(row["ids"], np.int64), data, np.concatenate([[0], np.cumsum(sizes)])
+    ids, none = split_blobs(row["ids"])
+    return expand(ids, np.int64), np.unpackbits(expand(none, np.uint8), count=len(sizes)).astype(bool), data, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def buckets(chunks: DataFrame, share: float = 1.0) -> int:
@@ -99,11 +109,16 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def ranges(keys: np.ndarray, n: int) -> list[tuple[int, slice]]:
+    """(bucket, its range) of the buckets in which sorted keys lie."""
+    b = bucket_of(keys, n)
+    first = np.flatnonzero(np.diff(b, prepend=-1))
+    return [(k, slice(lo, hi)) for k, lo, hi in zip(b[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)])]
+
+
 def send(chunk: int, keys: np.ndarray, n: int, pack: Callable[[np.ndarray, slice], bytes]) -> list[tuple[int, int, bytes]]:
     """Rows for sorted distinct ``keys``; ``pack(keys of the bucket, their range)`` makes the blob."""
-    b = bucket_of(keys, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
-    return [(chunk, k, pack(keys[cut[k] : cut[k + 1]], slice(cut[k], cut[k + 1]))) for k in range(n) if cut[k] < cut[k + 1]]
+    return [(chunk, k, pack(keys[own], own)) for k, own in ranges(keys, n)]
 
 
 def sent_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

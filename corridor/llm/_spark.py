@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_made: list[str] = []  # tables of this session that are still there
+_making: ContextVar[list[str] | None] = ContextVar("_making", default=None)  # tables made within the settle that runs
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -33,17 +34,25 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd", row_group: int = 128 << 20) -> DataFrame:
+ROW_GROUP = 8 << 20  # bytes of a written table's row group
+
+
+def materialise(df: DataFrame, tag: str, codec: str = "zstd", row_group: int = ROW_GROUP) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Cuts the lineage; the table outlives a lost executor and goes with the JVM.
     Snappy is not used: its codec takes buffers as large as a page outside the heap,
     which stay until the heap is collected, and pages of large binaries are large.
+    Rows may be large binaries, and a reader holds a row group's rows as one batch: row
+    groups are small, and sizes are looked at from the first row on, not after 100.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).option("parquet.block.size", str(row_group)).parquet(path)
-    _made.append(path)
+    small = {"parquet.block.size": row_group, "parquet.page.size": 256 << 10, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    df.write.option("compression", codec).options(**small).parquet(path)
+    own = _making.get()
+    if own is not None:
+        own.append(path)
     p, fs = _hadoop(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,12 +60,17 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", row_group: int = 1
 
 def settle(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
     """A table of what ``make`` gives; the tables that it made on the way, and its shuffles, go."""
-    before = len(_made)
-    out = materialise(make(), tag)
-    for path in _made[before:-1]:
+    outer, own = _making.get(), []
+    token = _making.set(own)
+    try:
+        out = materialise(make(), tag)
+    finally:
+        _making.reset(token)
+    for path in own[:-1]:
         p, fs = _hadoop(spark, path)
         fs.delete(p, True)
-    del _made[before:-1]
+    if outer is not None:
+        outer.append(own[-1])
     release()
     return out
 

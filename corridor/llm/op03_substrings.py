@@ -38,7 +38,6 @@ from ._spark import lean, materialise, release, table
 MIN_WORDS = 13
 FIRST = 8
 
-NO_ID = np.iinfo(np.int64).max
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
@@ -54,7 +53,15 @@ class Windows:
     """A chunk's words and window hashes."""
 
     def __init__(self, row: dict):
-        self.ids, self.data, self.offs = C.unpack(row)
+        self.ids, self.none, self.data, self.offs = C.unpack(row)
+        # places in the order of ids, null last; equal ids share one
+        order = np.lexsort((self.ids, self.none))
+        ids, none = self.ids[order], self.none[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])
+        self.rank = np.empty(len(ids), np.int64)
+        self.rank[order] = np.cumsum(new) - 1
+        self.by_rank = ids[new], none[new]
         self.starts, self.ends, self.doc = _text.words(self.data, self.offs)
         self.h = _text.word_hashes(self.data, self.starts, self.ends)
 
@@ -69,7 +76,7 @@ class Windows:
 
 
 def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct sorted keys, their smallest and largest id, each entry's place among them)."""
+    """(distinct sorted keys, the smallest and largest of their documents' ranks, each entry's place among them)."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     new = np.ones(len(k), bool)
@@ -86,11 +93,12 @@ def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _send(chunk: int, w: Windows, at: np.ndarray, keys: np.ndarray, bits: int | None, n: int) -> list:
     if bits is not None:  # a filter: leading bits and whether two documents of the chunk hold the window
-        k, lo, hi, _ = _distinct(C.lead(keys, bits), w.ids[w.doc[at]])
+        k, lo, hi, _ = _distinct(C.lead(keys, bits), w.rank[w.doc[at]])
         several = lo != hi
         return C.send(chunk, k << np.uint64(64 - bits), n, lambda part, own: C.join_blobs(C.steps(C.lead(part, bits)), np.packbits(several[own]).tobytes()))
-    k, lo, _, _ = _distinct(keys, w.ids[w.doc[at]])
-    return C.send(chunk, k, n, lambda part, own: C.join_blobs(C.steps(part), C.squeeze(lo[own])))
+    k, lo, _, _ = _distinct(keys, w.rank[w.doc[at]])
+    ids, none = w.by_rank
+    return C.send(chunk, k, n, lambda part, own: C.join_blobs(C.steps(part), C.squeeze(ids[lo[own]]), C.squeeze(np.packbits(none[lo[own]]))))
 
 
 def _repeated(t: pa.Table) -> pa.Table:
@@ -109,13 +117,16 @@ def _earlier(t: pa.Table) -> pa.Table:
     blobs = [C.split_blobs(b) for b in t.column("blob").to_pylist()]
     keys = [C.unsteps(b[0]) for b in blobs]
     own = np.concatenate([C.expand(b[1], np.int64) for b in blobs])
+    none = np.concatenate([np.unpackbits(C.expand(b[2], np.uint8), count=len(k)) for b, k in zip(blobs, keys)])
+    own = np.where(none, np.iinfo(np.int64).max, own)  # null last: after the largest id, too
     flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
+    order = np.lexsort((none, own, flat))
     k = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    least = np.empty(len(flat), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(own[order], first), np.diff(np.append(first, len(k))))
-    return _reply(t, keys, least < own)
+    first = np.concatenate([[True], k[1:] != k[:-1]])
+    at = order[np.flatnonzero(first)][np.cumsum(first) - 1]  # for each entry the one that comes first of its key
+    later = np.empty(len(flat), bool)
+    later[order] = (own[at] < own[order]) | (none[at] < none[order])
+    return _reply(t, keys, later)
 
 
 def _reply(t: pa.Table, keys: list[np.ndarray], flags: np.ndarray) -> pa.Table:
@@ -126,17 +137,16 @@ def _reply(t: pa.Table, keys: list[np.ndarray], flags: np.ndarray) -> pa.Table:
 
 def _flags(replies: dict[int, bytes], k: np.ndarray, n: int) -> np.ndarray:
     """The replies to sorted distinct keys, in their order."""
-    cut = np.searchsorted(C.bucket_of(k, n), np.arange(n + 1))
     out = np.zeros(len(k), bool)
-    for b, blob in replies.items():
-        out[cut[b] : cut[b + 1]] = np.unpackbits(C.expand(blob, np.uint8), count=cut[b + 1] - cut[b])
+    for b, own in C.ranges(k, n):
+        out[own] = np.unpackbits(C.expand(replies[b], np.uint8), count=own.stop - own.start)
     return out
 
 
 def _alive(w: Windows, length: int, before, replies: dict[int, bytes], bits: int, n: int) -> np.ndarray:
     """Word places where a window of ``length`` words survives its level."""
     at, keys = w.keys(length, before)
-    k, _, _, place = _distinct(C.lead(keys, bits), w.ids[w.doc[at]])
+    k, _, _, place = _distinct(C.lead(keys, bits), w.rank[w.doc[at]])
     out = np.zeros(len(w.h), bool)
     out[at] = _flags(replies, k << np.uint64(64 - bits), n)[place]
     return out
@@ -174,12 +184,18 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
         return run
 
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                w = Windows(row)
+                yield from _result(w, np.zeros(len(w.h), bool)).to_batches()
+
     def finish(t: pa.Table) -> pa.Table:
         _, row, (state, replies) = C.group(t, 2)
         w = Windows(row)
         at, keys = w.keys(min_words, _state(state, lengths[last - 1], len(w.h)) if last else None)
-        k, least, _, place = _distinct(keys, w.ids[w.doc[at]])
-        hit = at[_flags(replies, k, n)[place] | (w.ids[w.doc[at]] > least[place])]
+        k, least, _, place = _distinct(keys, w.rank[w.doc[at]])
+        hit = at[_flags(replies, k, n)[place] | (w.rank[w.doc[at]] > least[place])]
         cover = np.zeros(len(w.h) + 1, np.int64)
         np.add.at(cover, hit, 1)
         np.subtract.at(cover, hit + min_words, 1)
@@ -193,6 +209,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         sent = materialise(C.by_chunk(chunks, none, reply).groupBy("chunk").applyInArrow(advance(k), C.SENT), "windows", "uncompressed")
         state = sent.where("bucket < 0")
         release()
+        if sent.where("bucket >= 0").isEmpty():  # no candidate survives
+            return chunks.mapInArrow(lean(untouched), RESULT)
     reply = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_earlier, C.SENT)
     return C.by_chunk(chunks, reply.limit(0) if state is None else state, reply).groupBy("chunk").applyInArrow(finish, RESULT)
 
@@ -210,7 +228,7 @@ def _result(w: Windows, removed: np.ndarray) -> pa.Table:
     raw = text.tobytes()
     cut = np.concatenate([[0], ends])[np.searchsorted(d, np.arange(n + 1))]
     digests = [hashlib.sha256(raw[cut[k] : max(cut[k], cut[k + 1] - 1)]).hexdigest() for k in range(n)]
-    ids = pa.array(w.ids, mask=w.ids == NO_ID)
+    ids = pa.array(w.ids, mask=w.none)
     return pa.table([ids, pa.array(total.astype(np.int64)), pa.array(gone.astype(np.int64)), pa.array(digests)], names=RESULT.names)
 
 

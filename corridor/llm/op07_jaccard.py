@@ -49,16 +49,15 @@ from ._spark import lean, materialise, release, settle, table
 WORDS = 4
 PERCENT = 85
 ORDERS = 1  # rounds of pivots; each further one tries another order
-NO_ID = np.iinfo(np.int64).max
 
 SETS = "node long, doc_id long, n long, d1 long, d2 long"
 SURVIVORS = "node long, n long, unique long, tokens array<long>, sketch array<long>"
 SKETCH = 8  # longs of parity bits
 
 
-def sets(row: dict, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def sets(row: dict, k: int) -> tuple[pa.Array, list[np.ndarray]]:
     """(ids, sorted distinct shingle hashes of every document)."""
-    ids, data, offs = C.unpack(row)
+    ids, none, data, offs = C.unpack(row)
     starts, ends, doc = _text.words(data, offs)
     h = _text.word_hashes(data, starts, ends, lower=True)
     grams, valid = _text.window_hashes(h, doc, k)
@@ -73,7 +72,7 @@ def sets(row: dict, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
             out.append(_text.window_hashes(h[lo:hi], doc[lo:hi], int(hi - lo))[0])
         else:
             out.append(np.zeros(0, np.uint64))
-    return ids, out
+    return pa.array(ids, mask=none), out
 
 
 def _node(chunk: int, n: int) -> np.ndarray:
@@ -88,8 +87,8 @@ def _describe(k: int):
                 with np.errstate(over="ignore"):
                     d1 = np.array([_text.mix(s).sum(dtype=np.uint64) for s in own], np.uint64)
                     d2 = np.array([_text.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in own], np.uint64)
-                cols = [_node(row["chunk"], len(ids)), pa.array(ids, mask=ids == NO_ID), np.array([len(s) for s in own], np.int64), d1.view(np.int64), d2.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "doc_id", "n", "d1", "d2"])
+                cols = [_node(row["chunk"], len(ids)), ids, np.array([len(s) for s in own], np.int64), d1.view(np.int64), d2.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["node", "doc_id", "n", "d1", "d2"])
 
     return run
 
@@ -139,10 +138,9 @@ def _survivors(k: int, bits: int, n_buckets: int, percent: int):
         rows: list[tuple] = []
         if own:
             keys, place, _ = _lead_counts(own, bits)
-            cut = np.searchsorted(C.bucket_of(keys << np.uint64(64 - bits), n_buckets), np.arange(n_buckets + 1))
             level = np.zeros(len(keys), np.uint8)
-            for b, blob in rest[0].items():
-                level[cut[b] : cut[b + 1]] = C.expand(blob, np.uint8)
+            for b, part in C.ranges(keys << np.uint64(64 - bits), n_buckets):
+                level[part] = C.expand(rest[0][b], np.uint8)
             at = 0
             for node, s in zip(nodes, own):
                 f = level[place[at : at + len(s)]]
@@ -214,7 +212,7 @@ def merge(label: DataFrame, links: DataFrame) -> DataFrame:
 def link(chunks: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(every row's node, doc_id and class; every class's component)."""
     described = materialise(chunks.mapInArrow(lean(_describe(k)), SETS), "sets")
-    best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "node"))["node"].alias("class")
+    best = F.min("node").alias("class")
     classes = materialise(described.where("n > 0").groupBy("n", "d1", "d2").agg(best), "classes")
     reps = classes.select((F.shiftright("class", 17)).alias("chunk"), (F.col("class") % (1 << 17)).alias("place"))
     reps = reps.groupBy("chunk").agg(F.array_join(F.collect_list(F.col("place").cast("string")), ",").cast("binary").alias("blob"))
