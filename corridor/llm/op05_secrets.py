@@ -2,8 +2,9 @@
 
 Every version of a path is addressed by the SHA-256 of its text.  Only (blob,
 rule, rule version) triples absent from the ledger are scanned, each blob once
-however many paths hold it.  The ledger keeps the spans found, and those of
-earlier runs are joined back to all paths together with the new ones.
+however many paths hold it.  The ledger keeps the spans found: what a scan finds
+is written to it first, and all that is told of the paths is read from it, from
+earlier runs and this one alike.
 
 Positions come from one walk over the matches: the text is split at the rule's
 matches, and a running sum of piece and match lengths gives code point offsets.
@@ -112,12 +113,16 @@ def update(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFra
     return found, new.join(spans, ["blob", "rule", "version"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
+def findings(ledger: DataFrame) -> DataFrame:
+    """The spans in a ledger's rows, one row for each."""
+    return ledger.where(F.size("spans") > 0).select("blob", "rule", "version", F.explode("spans").alias("s")).select("blob", "rule", "version", "s.start", "s.stop")
+
+
 def earlier(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """What the ledger says that the rules, in their present versions, have found in these versions' blobs."""
-    blobs = address(versions).select("blob").distinct()
     now = F.concat_ws("/", "rule", "version").isin(*[f"{r.name}/{r.version}" for r in rules])
-    rows = ledger.where(now).join(blobs, "blob", "left_semi").select("blob", "rule", "version", F.explode("spans").alias("s"))
-    return rows.select("blob", "rule", "version", "s.start", "s.stop").distinct()
+    found = findings(ledger.where(now))
+    return found.join(address(versions).select("blob"), "blob", "left_semi").distinct()
 
 
 def summary(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -139,7 +144,8 @@ def summary(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document; with a ledger only what it lacks is scanned, and what it holds is told too."""
     v = docs.select(F.col(id_col).cast("long").alias("path"), F.col(text_col).alias("text"))
-    found, _ = update(v, RULES, ledger)
+    new = materialise(update(v, RULES, ledger)[1], "ledger")
+    found = findings(new)
     if ledger is not None:
         found = found.unionByName(earlier(v, ledger))
     told = materialise(summary(found), "findings")
