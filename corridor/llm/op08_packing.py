@@ -2,11 +2,15 @@
 
 Every task packs its own documents online.  ``level[f]`` is the number of open
 windows filled to ``f``; a piece of size ``s`` goes to the level that leaves the
-smallest sum of squared counts, in O(window) whatever the number of documents.
-A document longer than a window fills whole windows first, and only its rest is
-placed.  At the end of the task the windows left open are cut anew, end to end,
-into full windows and one remainder, whose binary digits become windows with a
-power of two tokens, which need no padding.
+smallest sum of squared counts.  A document longer than a window fills whole
+windows first, and only its rest is placed.
+
+At most ``OPEN`` windows are open at a time, so a task holds ``OPEN`` x window
+ids whatever its documents are: where a piece fits into none of them and no
+further one may be opened, it is cut so that its first part fills a level's
+window, by the same sum over both parts.  At the end of the task the few windows
+left open are cut anew, end to end, into full windows and one remainder, whose
+binary digits become windows with a power of two tokens, which need no padding.
 
 Defined results: a null or empty text has one token (the end mark).  Extra
 columns are ignored; a null or repeated doc_id is packed as any other.  An
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,8 @@ from ._spark import lean, table
 
 WINDOW = 1024
 END_ID = 0
-CACHE_WORDS = 600_000  # distinct parts of texts kept by a worker; beyond that it begins anew
+OPEN = 12  # windows that a task has open at most
+CACHE_WORDS = 300_000  # distinct parts of texts in a generation; a worker keeps the last two
 CACHE_CHARS = 40  # longer parts are not kept
 _END = np.array([END_ID], np.uint32).tobytes()
 
@@ -45,8 +51,11 @@ SCHEMA = T.StructType(
     ]
 )
 
-_TWO_WHITE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: fixed values: the pre-tokeniser's pattern, on printable ASCII
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
+_PRINTABLE = re.compile(r"[!-~]+")
+_SPECIAL = "<|"  # what may be a special token is left to the tokenizer
 _LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -57,34 +66,48 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Irregular(Exception):
+    """A part with white space at an end: it may not be cut there."""
+
+
 class _Parts(dict):
     """Part of a text -> its ids as bytes.  ``blank`` stands before each part, or nothing does.
 
-    A part of letters alone is one pre-token and goes straight to the BPE model;
-    a part closed by a comma or full stop, and one holding lone line breaks
-    between other characters, are put together from the ids of their pieces, as
-    the pre-tokeniser cuts there too.  Everything else takes the whole tokenizer.
+    A part of printable ASCII is cut as the pre-tokeniser cuts it, and its pieces go
+    straight to the BPE model, as does a part of letters alone; a part closed by a
+    comma or full stop, and one holding lone line breaks between other characters,
+    are put together from the ids of their pieces, as the pre-tokeniser cuts there
+    too.  Everything else takes the whole tokenizer.
     """
 
-    def __init__(self, owner: WordTokenizer, blank: str):
-        self.owner, self.blank = owner, blank
+    def __init__(self, owner: WordTokenizer, blank: str, old: dict | None = None):
+        self.owner, self.blank, self.old = owner, blank, old or {}
 
     def __missing__(self, key: str) -> bytes:
         owner, last = self.owner, key[-1:]
-        if key.isalpha():
-            letters = (self.blank + key).encode().decode("latin-1").translate(owner.letters)
-            ids = np.array([t.id for t in owner.tokenizer.model.tokenize(letters)], np.uint32).tobytes()
-        elif last in (".", ",") and key[:-1].isalpha():
-            ids = self[key[:-1]] + owner.head[last]
-        else:
-            if "\n" in key and len(lines := _LONE_BREAK.split(key)) > 1:
-                return owner.line.join([self[lines[0]], *map(owner.head.__getitem__, lines[1:])])
-            ids = np.array(owner.tokenizer.encode(self.blank + key, add_special_tokens=False).ids, np.uint32).tobytes()
+        ids = self.old.get(key)
+        if ids is None:
+            if not owner.careful and (not key or key[0].isspace() or last.isspace()):
+                raise Irregular
+            ids = self.made(key, last)
         if len(key) <= CACHE_CHARS:
             owner.held += 1
             self[key] = ids
         return ids
 
+    def made(self, key: str, last: str) -> bytes:
+        owner = self.owner
+        if key.isalpha():
+            return owner.piece(self.blank + key)
+        if last in (".", ",") and key[:-1].isalpha():
+            return self[key[:-1]] + owner.head[last]
+        if _PRINTABLE.fullmatch(key) and _SPECIAL not in key:
+            first, *rest = _PIECES.findall(self.blank + key)
+            return b"".join([owner.piece(first), *map(owner.piece, rest)])
+        if "\n" in key and len(lines := _LONE_BREAK.split(key)) > 1:
+            return owner.line.join([self[lines[0]], *map(owner.head.__getitem__, lines[1:])])
+        return array("I", owner.tokenizer.encode(self.blank + key, add_special_tokens=False).ids).tobytes()
+
 
 class WordTokenizer:
     """ids of whole texts, each distinct part encoded once and kept.
@@ -98,29 +121,40 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.reset()
-        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def reset(self) -> None:
+        self.letters, self.careful = _byte_letters(), False
         self.held, self.head, self.rest = 0, _Parts(self, ""), _Parts(self, " ")
+        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids with the end mark after them."""
+    def turn(self) -> None:
+        """A new generation: what it asks for again comes from the one before, the rest goes."""
+        self.held = 0
+        for name in ("head", "rest"):
+            before = getattr(self, name)
+            before.old = {}
+            setattr(self, name, _Parts(self, before.blank, before))
+
+    def piece(self, text: str) -> bytes:
+        """The ids of one pre-token."""
+        letters = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit numbers, with the end mark after them."""
         if self.held > CACHE_WORDS:
-            self.reset()
+            self.turn()
         if not text:
-            return np.array([END_ID], np.uint32)
-        if _TWO_WHITE.search(text):
-            first, *rest = _CUT.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-            if rest and not rest[-1]:  # a blank at the end
-                rest.pop()
-                rest[-1:] = [rest[-1] + " "] if rest else []
-                first = first if rest else first + " "
-        return np.frombuffer(b"".join([self.head[first] if first else b"", *map(self.rest.__getitem__, rest), _END]), np.uint32)
+            return _END
+        first, *rest = text.split(" ")
+        try:  # single blanks between parts, as nearly everywhere
+            return b"".join([self.head[first] if first else b"", *map(self.rest.__getitem__, rest), _END])
+        except Irregular:
+            pass
+        first, *rest = _CUT.split(text)
+        self.careful = True
+        try:
+            return b"".join([self.head[first] if first else b"", *[self.rest[x[1:]] for x in rest], _END])
+        finally:
+            self.careful = False
 
 
 _kept: dict[str, WordTokenizer] = {}
@@ -136,49 +170,77 @@ def tokenizer(path: str) -> WordTokenizer:
 class SumOfSquares:
     """The level array and, for each level, the open windows filled so far."""
 
-    def __init__(self, window: int):
-        self.window = window
-        self.level = np.zeros(window + 1, np.int64)
-        self.open: list[list[int]] = [[] for _ in range(window + 1)]
-        self.count = 0
+    def __init__(self, window: int, most: int = OPEN):
+        self.window, self.most = window, most
+        self.level = [0] * (window + 1)
+        self.open: dict[int, list[int]] = {}  # fill -> windows
+        self.count = self.held = 0
 
     def new(self) -> int:
         self.count += 1
         return self.count - 1
 
-    def place(self, size: int) -> tuple[int, int]:
-        """(window, offset) for a piece; ties go to the fullest window, then to an open one."""
-        w, n = self.window, self.level
-        # n[f]-1 and n[f+size]+1 change the sum of squares by 2 * (n[f + size] - n[f] + 1); full windows do not count
-        after = n[size : w + 1].copy()
-        after[-1] = 0
-        gain = after - n[: w + 1 - size] + 1
-        gain[-1] = 0 if n[w - size] == 0 else -n[w - size]
-        gain = gain * 2
-        gain[-1] += 1 if n[w - size] else 0
-        gain[0] = 2 * n[size] + 1 if size < w else 0
-        usable = n[: w + 1 - size] > 0
-        usable[0] = True
-        gain = np.where(usable, gain, np.iinfo(np.int64).max)
-        fill = len(gain) - 1 - int(np.argmin(gain[::-1]))
-        if fill == 0:
-            seq = self.new()
+    def change(self, fill: int, size: int) -> int:
+        """How the sum of squares changes when ``size`` goes to a window filled to ``fill``; 0 opens one.  Full windows do not count."""
+        n, to = self.level, fill + size
+        return (1 - 2 * n[fill] if fill else 0) + (2 * n[to] + 1 if to < self.window else 0)
+
+    def best(self, size: int, room: int) -> tuple[int, int] | None:
+        """(change, fill) of the best level for a whole piece, ties to the fullest; a new window only with ``room``."""
+        levels = [f for f in self.open if f + size <= self.window]
+        if room > 0 or size == self.window:
+            levels.append(0)
+        return min(((self.change(f, size), -f) for f in levels), default=None)
+
+    def move(self, fill: int, size: int) -> int:
+        if fill:
+            own = self.open[fill]
+            seq = own.pop()
+            if not own:
+                del self.open[fill]
+            self.level[fill] -= 1
+            self.held -= 1
         else:
-            seq = self.open[fill].pop()
-            n[fill] -= 1
-        if fill + size < w:
-            n[fill + size] += 1
-            self.open[fill + size].append(seq)
-        return seq, fill
+            seq = self.new()
+        to = fill + size
+        if to < self.window:
+            self.open.setdefault(to, []).append(seq)
+            self.level[to] += 1
+            self.held += 1
+        return seq
+
+    def place(self, size: int) -> list[tuple[int, int, int]]:
+        """(window, offset, length) of the piece, or of its parts where only a cut keeps the windows few."""
+        out = []
+        while size:
+            found = self.best(size, self.most - self.held)
+            if found is not None:
+                out.append((self.move(-found[1], size), -found[1], size))
+                break
+            # it fits into none: fill one and see where the rest goes best
+            cuts = []
+            for f in list(self.open):
+                first = self.window - f
+                change, seq = self.change(f, first), self.move(f, first)
+                rest = self.best(size - first, self.most - self.held)
+                cuts.append((change + (rest[0] if rest else 0), -f))
+                self.undo(f, seq)
+            fill = -min(cuts)[1]
+            out.append((self.move(fill, self.window - fill), fill, self.window - fill))
+            size -= self.window - fill
+        return out
+
+    def undo(self, fill: int, seq: int) -> None:
+        """A filled window opens again."""
+        self.open.setdefault(fill, []).append(seq)
+        self.level[fill] += 1
+        self.held += 1
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, text_col: str, id_col: str) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
     base = TaskContext.get().partitionId() << 40
     tok, bins = tokenizer(path), SumOfSquares(window)
-    held: dict[int, list[tuple]] = {}  # pieces of open windows with their ids, squeezed: what the sum of squares leaves open
-    squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    held: dict[int, list[tuple]] = {}  # pieces of open windows with their ids
     rows: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
@@ -186,47 +248,35 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, text_col: s
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=SCHEMA.names)
 
-    def emit(doc, start, ids, total, seq, offset):
-        rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + seq, offset))
-
-    def settle(seq):
-        """A window is full: its pieces are final."""
-        for doc, start, blob, total, offset in held.pop(seq, ()):
-            emit(doc, start, np.frombuffer(expand.decompress(blob), np.uint32), total, seq, offset)
-
     for batch in batches:
         docs, texts = batch.column(id_col).to_pylist(), batch.column(text_col)
         for lo in range(0, len(docs), 256):
             for doc, text in zip(docs[lo : lo + 256], texts.slice(lo, 256).to_pylist()):
-                own = tok.ids(text)
-                total, at = len(own), 0
+                own = memoryview(tok.ids(text))
+                total, at = len(own) // 4, 0
                 while total - at >= window:
-                    emit(doc, at, own[at : at + window], total, bins.new(), 0)
+                    rows.append((doc, at, window, zlib.crc32(own[4 * at : 4 * (at + window)]), total, base + bins.new(), 0))
                     at += window
-                if at < total:
-                    rest = own[at:]
-                    seq, offset = bins.place(len(rest))
-                    held.setdefault(seq, []).append((doc, at, squeeze.compress(rest.tobytes()), total, offset))
-                    if offset + len(rest) == window:
-                        settle(seq)
+                for seq, offset, size in bins.place(total - at):
+                    held.setdefault(seq, []).append((doc, at, bytes(own[4 * at : 4 * (at + size)]), total, offset))
+                    at += size
+                    if offset + size == window:  # full: its pieces are final
+                        rows += [(d, a, len(ids) // 4, zlib.crc32(ids), n, base + seq, o) for d, a, ids, n, o in held.pop(seq)]
             if len(rows) >= 20_000:
                 yield flush()
     # what is open at the end of the task is laid end to end and cut anew
     left = [p for seq in sorted(held) for p in held[seq]]
-    sizes = [len(expand.decompress(p[2])) // 4 for p in left]
-    remaining = sum(sizes)
+    remaining = sum(len(p[2]) // 4 for p in left)
     seq, offset, room = -1, 0, 0
-    for (doc, start, blob, total, _), size in zip(left, sizes):
-        ids, at = np.frombuffer(expand.decompress(blob), np.uint32), 0
+    for doc, start, ids, total, _ in left:
+        size, at = len(ids) // 4, 0
         while at < size:
             if room == offset:
                 seq, offset = bins.new(), 0
                 room = min(window, 1 << (remaining.bit_length() - 1)) if remaining < window else window
             take = min(size - at, room - offset)
-            emit(doc, start + at, ids[at : at + take], total, seq, offset)
+            rows.append((doc, start + at, take, zlib.crc32(ids[4 * at : 4 * (at + take)]), total, base + seq, offset))
             offset, at, remaining = offset + take, at + take, remaining - take
-        if len(rows) >= 20_000:
-            yield flush()
     yield flush()
 
 
