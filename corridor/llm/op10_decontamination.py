@@ -13,12 +13,21 @@ of the text happens to agree.
 
 Texts are compared in a folded form: A-Z in lower case, ASCII punctuation and
 white space as one blank.  The benchmark is the stated query set: it is taken
-in blocks of ``BLOCK_ITEMS`` items, each a small index that every task gets.
+in blocks of ``BLOCK_CHARS`` folded characters, each a small index that every
+task gets, and a pass over the documents goes through all blocks with a slab of
+texts at a time, holding one block.  Items longer than a block are cut into
+parts that share all but the starts of their windows.
+
+Repetitive text costs no more than other text: of windows of an item that are
+the same only the first is looked for and stands for all, and in a document with
+many more hits than characters only first occurrences of what a window can meet
+are looked at.  Hits are expanded in bounded portions, also within a document.
 
 Defined results: null or empty texts and items match nothing, nor do items
 with under ``q`` folded characters.  A repeated doc_id is searched row by row.
-Null ids stay null.  Empty tables give no rows; other columns are ignored.
-Texts are searched whole.
+Null ids stay null; items without an id are reported together, one row for a
+document.  Empty tables give no rows; other columns are ignored.  Texts are
+searched whole.
 """
 
 from __future__ import annotations
@@ -39,7 +48,10 @@ from ._spark import lean, table
 Q = 8
 WINDOW = 100
 RATE = 0.08
-BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 2 << 20
+SLAB_BYTES = 16 << 20  # of texts that go through the blocks together
+HITS_AT_ONCE = 2 << 20  # expanded hits held at a time
+HEAVY = 32  # expanded hits a character from which a document is looked at for repeats
 _FILTER_BITS = 20
 _CELL_BITS = 17
 
@@ -92,17 +104,52 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+_BYTE = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def same_windows(x: np.ndarray, length: int) -> np.ndarray:
+    """For each window of ``length`` (at least Q) places how many are the same as it; 0 if one before it is."""
+    n = len(x) - length + 1
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTE[x] * _powers(_BASE, len(x)), out=total[1:])
+    _, first, place = np.unique((total[length:] - total[:n]) * _powers(_BACK, n), return_index=True, return_inverse=True)
+    lead = first[place]
+    again, g = np.flatnonzero(lead < np.arange(n)), grams(x)
+    equal = np.ones(len(again), bool)
+    for k in [*range(0, length - Q, Q), length - Q]:
+        equal &= g[again + k] == g[lead[again] + k]
+    lead[again[~equal]] = again[~equal]  # equal by hash alone: it stands for itself
+    return np.bincount(lead, minlength=n)
+
+
+def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n places lie within ``width`` places from any start on."""
+    step = np.zeros(n + width + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.subtract.at(step, starts + width, 1)
+    return np.cumsum(step)[:n] > 0
+
+
 @dataclass
 class Index:
-    """A block of items and where each q-gram stands in them."""
+    """A block of items, or parts of them, and where each q-gram stands in them."""
 
     ids: list
-    body: np.ndarray  # the folded items one after the other
+    body: np.ndarray  # the folded parts one after the other
     base: np.ndarray  # where each begins
     sizes: np.ndarray
-    length: np.ndarray  # of an item's windows
+    length: np.ndarray  # of a part's windows
     edits: np.ndarray
     need: np.ndarray
+    weight: np.ndarray  # for each place of body as a window's start: how many windows of its part are the same, 0 if one before is
     codes: np.ndarray  # sorted q-grams
     at: np.ndarray  # codes' ranges in item/pos
     item: np.ndarray
@@ -115,12 +162,23 @@ class Index:
         return [self.body[b + s : b + s + m] for b, n, m in zip(self.base, self.sizes, self.length) for s in range(n - m + 1)]
 
 
+def folded(body: str | None) -> np.ndarray:
+    raw = np.frombuffer((body or "").encode(), np.uint8)
+    x, _ = fold(raw, np.array([0, len(raw)]))
+    return x[:-1] if len(x) and x[-1] == 32 else x
+
+
+def cut(x: np.ndarray, most: int, window: int) -> Iterator[np.ndarray]:
+    """Parts of at most ``most`` window starts; together they have every window once."""
+    for at in range(0, max(1, len(x) - window + 1), most):
+        yield x[at : at + most + window - 1]
+
+
 def build(items: list[tuple], window: int = WINDOW, rate: float = RATE) -> Index | None:
+    """``items`` are (id, text or folded bytes)."""
     ids, text = [], []
     for item, body in items:
-        raw = np.frombuffer((body or "").encode(), np.uint8)
-        x, _ = fold(raw, np.array([0, len(raw)]))
-        x = x[:-1] if len(x) and x[-1] == 32 else x
+        x = body if isinstance(body, np.ndarray) else folded(body)
         if len(x) >= Q:
             ids.append(item)
             text.append(x)
@@ -131,14 +189,20 @@ def build(items: list[tuple], window: int = WINDOW, rate: float = RATE) -> Index
     # the largest budget, up to the rate, that leaves the lemma something to count
     edits = np.minimum((rate * lengths).astype(int), np.maximum(0, (lengths + 1) // Q - 2))
     need = np.maximum(1, lengths + 1 - Q * (edits + 1))
-    g = np.concatenate([grams(x) for x in text])
-    w = np.repeat(np.arange(len(text)), sizes - Q + 1)
-    p = np.concatenate([np.arange(n - Q + 1) for n in sizes])
+    weight, g, p = [], [], []
+    for x, m in zip(text, lengths):
+        w = same_windows(x, int(m))
+        at = np.flatnonzero(cover(np.flatnonzero(w), int(m) - Q + 1, len(x) - Q + 1))
+        weight.append(np.concatenate([w, np.zeros(len(x) - len(w), w.dtype)]))
+        g.append(grams(x)[at])
+        p.append(at.astype(np.int32))
+    own = np.repeat(np.arange(len(text), dtype=np.int32), [len(x) for x in p])
+    g, p = np.concatenate(g), np.concatenate(p)
     order = np.argsort(g, kind="stable")
     codes, first = np.unique(g[order], return_index=True)
     slots = np.zeros(1 << _FILTER_BITS, bool)
     slots[_slot(codes)] = True
-    return Index(ids, np.concatenate(text), np.cumsum(sizes) - sizes, sizes, lengths, edits, need, codes, np.append(first, len(g)), w[order], p[order], slots)
+    return Index(ids, np.concatenate(text), np.cumsum(sizes) - sizes, sizes, lengths, edits, need, np.concatenate(weight).astype(np.int32), codes, np.append(first, len(g)), own[order], p[order], slots)
 
 
 def banded(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -199,28 +263,47 @@ def search(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int,
     doc = np.searchsorted(offs, at, "right") - 1
     inside = at + Q <= offs[doc + 1]
     at, place, doc = at[inside], place[inside], doc[inside]
-    yield from _regions(ix, x, offs, at, place, doc)
+    at, place, doc = _lighter(ix, x, offs, at, place, doc)
+    found = list(_regions(ix, x, offs, at, place, doc))
+    if found:
+        yield from _count(ix, np.concatenate(found))
+
+
+def _lighter(ix: Index, x, offs, at, place, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the hits of heavy documents that lie in no first occurrence of what a window can meet."""
+    total = np.bincount(doc, ix.at[place + 1] - ix.at[place], len(offs) - 1)
+    sizes, reach = np.diff(offs), int((ix.length + ix.edits).max())
+    keep = np.ones(len(at), bool)
+    for d in np.flatnonzero((total > HEAVY * sizes) & (sizes > 2 * reach)):
+        own = x[offs[d] : offs[d + 1]]
+        starts = np.flatnonzero(same_windows(own, reach))
+        near = cover(starts, reach - Q + 1, len(own))
+        near[-reach:] = True  # what begins here is cut short by the end
+        mine = slice(*np.searchsorted(doc, [d, d + 1]))
+        keep[mine] = near[at[mine] - offs[d]]
+    return at[keep], place[keep], doc[keep]
+
+
+def _portions(ix: Index, at, place) -> Iterator[slice]:
+    """Ranges of hits with a bounded number of expanded ones; each begins a window's reach of text before the last one's end."""
+    many = np.cumsum(ix.at[place + 1] - ix.at[place])
+    reach = int((ix.length + 4 * (ix.edits + 1)).max())
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(many, (many[lo - 1] if lo else 0) + HITS_AT_ONCE, "right")))
+        yield slice(int(np.searchsorted(at, at[lo] - reach)) if lo else 0, min(hi, len(at)))
+        lo = hi
 
 
-def _regions(ix: Index, x, offs, at, place, doc) -> Iterator[tuple[int, int, int, int]]:
+def _regions(ix: Index, x, offs, at, place, doc) -> Iterator[np.ndarray]:
+    """Rows (document, part, start, edits) of the windows that align, some of them more than once."""
     shift_by = int(ix.sizes.max())  # makes diagonals not negative
-    bounds = [0]
-    many = np.cumsum(ix.at[place + 1] - ix.at[place])
-    while bounds[-1] < len(at):  # at most about 2 million expanded hits at once, unless one document has more
-        lo = bounds[-1]
-        base = many[lo - 1] if lo else 0
-        hi = int(np.searchsorted(many, base + (2 << 20), "right"))
-        hi = max(hi, lo + 1)
-        if hi < len(at):
-            cut = int(np.searchsorted(doc, doc[hi], "left"))
-            hi = cut if cut > lo else int(np.searchsorted(doc, doc[lo], "right"))
-        bounds.append(min(hi, len(at)))
-    for lo, hi in zip(bounds, bounds[1:]):
-        pl = place[lo:hi]
+    for part in _portions(ix, at, place):
+        pl = place[part]
         sizes = ix.at[pl + 1] - ix.at[pl]
         ends = np.cumsum(sizes)
         src = np.repeat(ix.at[pl] - ends + sizes, sizes) + np.arange(int(ends[-1]))
-        pos, own, ipos = np.repeat(at[lo:hi], sizes), ix.item[src], ix.pos[src]
+        pos, own, ipos = np.repeat(at[part], sizes), ix.item[src].astype(np.int64), ix.pos[src].astype(np.int64)
         diag = pos - ipos + shift_by
         half = (ix.edits + 1)[own]
         kept = []
@@ -250,92 +333,113 @@ def _regions(ix: Index, x, offs, at, place, doc) -> Iterator[tuple[int, int, int
             starts = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             width = 2 * (ix.edits[it] + 1)
             low = (k & ((1 << 40) - 1)) * width - shift * (width // 2) - shift_by
-            kept.append(np.stack([np.repeat(dd, n), np.repeat(it, n), starts, np.repeat(low, n)], 1))
+            rows = np.stack([np.repeat(dd, n), np.repeat(it, n), starts, np.repeat(low, n)], 1)
+            kept.append(rows[ix.weight[ix.base[rows[:, 1]] + starts] > 0])
         if not kept:
             continue
-        cand, least = np.concatenate(kept), []
-        cand = cand[np.argsort(ix.length[cand[:, 1]], kind="stable")]
+        cand = np.concatenate(kept)
         length = ix.length[cand[:, 1]]
         for m in np.unique(length):
             mine = cand[length == m]
             e = int(ix.edits[mine[0, 1]])
-            for part in range(0, len(mine), 4096):
-                c = mine[part : part + 4096]
+            for lo in range(0, len(mine), 4096):
+                c = mine[lo : lo + 4096]
                 pattern = ix.body[(ix.base[c[:, 1]] + c[:, 2])[:, None] + np.arange(m)]
                 take = (c[:, 2] + c[:, 3] - e)[:, None] + np.arange(m + 2 * (e + 1) + 2 * e)
                 inside = (take >= offs[c[:, 0]][:, None]) & (take < offs[c[:, 0] + 1][:, None])
-                least.append(banded(pattern, np.where(inside, x[np.clip(take, 0, len(x) - 1)], 255)))
-        least = np.concatenate(least) if least else np.zeros(0, int)
-        good = least <= ix.edits[cand[:, 1]]
-        yield from _count(cand[good], least[good])
-
-
-def _count(cand: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, starts, least edits) of aligned candidates; a start may have been found in two bands."""
-    if not len(cand):
-        return
-    order = np.lexsort((cand[:, 2], cand[:, 1], cand[:, 0]))
-    cand, least = cand[order], least[order]
-    pair = np.append(True, (cand[1:, :2] != cand[:-1, :2]).any(axis=1))
-    fresh = pair | np.append(True, cand[1:, 2] != cand[:-1, 2])
+                least = banded(pattern, np.where(inside, x[np.clip(take, 0, len(x) - 1)], 255))
+                good = least <= e
+                if good.any():
+                    yield np.column_stack([c[good, :3], least[good]])
+
+
+def _count(ix: Index, rows: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, part, starts, least edits); a start may have been found in two bands or portions."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    pair = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))
+    fresh = pair | np.append(True, rows[1:, 2] != rows[:-1, 2])
+    weight = np.where(fresh, ix.weight[ix.base[rows[:, 1]] + rows[:, 2]], 0)
     first = np.flatnonzero(pair)
-    for (dk, item), n, e in zip(cand[first, :2], np.add.reduceat(fresh.astype(int), first), np.minimum.reduceat(least, first)):
-        yield int(dk), int(item), int(n), int(e)
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_ITEMS) -> Iterator[Index]:
-    part: list[tuple] = []
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
-        part.append(tuple(row))
-        if len(part) == most:
-            if (ix := build(part)) is not None:
-                yield ix
-            part = []
-    if part and (ix := build(part)) is not None:
+    for (d, part), n, e in zip(rows[first, :2], np.add.reduceat(weight, first), np.minimum.reduceat(rows[:, 3], first)):
+        yield int(d), int(part), int(n), int(e)
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int | None = None) -> Iterator[Index]:
+    """Indexes of at most ``most`` folded characters and a window; the driver holds one block's items."""
+    held, size, most = [], 0, most or BLOCK_CHARS
+    for item, body in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
+        for x in cut(folded(body), most, WINDOW):
+            if held and size + len(x) > most:
+                if (ix := build(held)) is not None:
+                    yield ix
+                held, size = [], 0
+            held.append((item, x))
+            size += len(x)
+    if held and (ix := build(held)) is not None:
         yield ix
 
 
+def _slabs(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(place).nbytes
+        if size >= SLAB_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(batches: list[pa.RecordBatch], place: int, shared: list) -> Iterator[tuple[int, int, int | None, int, int]]:
+    """(batch, row, item, windows found, least edits), block by block; with several blocks a worker keeps one."""
+    for block in shared:
+        ix = block.value
+        for k, batch in enumerate(batches):
+            data, offs = _text.buffers(batch.column(place))
+            for lo, hi in _text.slices(offs):
+                for d, part, n, e in search(ix, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
+                    yield k, lo + d, ix.ids[part], n, e
+        if len(shared) > 1:
+            del ix, block._value  # read again from the executor's disk for the next slab
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each pair of a document and an item of which it holds a passage."""
-    spark, out = docs.sparkSession, None
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for ix in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(ix)
+    shared = [spark.sparkContext.broadcast(ix) for ix in blocks(benchmark, item_col, item_text)]
+    if not shared:
+        return spark.createDataFrame([], HITS)
 
-        def run(batches, shared=shared):
-            ix = shared.value
-            for batch in batches:
-                data, offs = _text.buffers(batch.column("text"))
-                ids, found = batch.column("doc_id"), []
-                for lo, hi in _text.slices(offs):
-                    own = offs[lo : hi + 1]
-                    for d, item, n, e in search(ix, data[own[0] : own[-1]], own - own[0]):
-                        found.append((ids[lo + d].as_py(), ix.ids[item], n, e))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 4)], names=HITS.names)
+    def run(batches):
+        for slab in _slabs(batches, 1):
+            pairs: dict[tuple, tuple[int, int]] = {}  # an item's parts and blocks make one row
+            for k, row, item, n, e in _found(slab, 1, shared):
+                n0, e0 = pairs.get((k, row, item), (0, e))
+                pairs[k, row, item] = n0 + n, min(e0, e)
+            out = [(slab[k].column(0)[row].as_py(), item, n, e) for (k, row, item), (n, e) in pairs.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=HITS.names)
 
-        part = rows.mapInArrow(lean(run), HITS)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], HITS) if out is None else out
+    return rows.mapInArrow(lean(run), HITS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that hold no benchmark passage, with all their columns and no shuffle."""
     place = docs.columns.index(text_col)
-    for ix in blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(ix)
-
-        def run(batches, shared=shared):
-            ix = shared.value
-            for batch in batches:
-                data, offs = _text.buffers(batch.column(place))
-                keep = np.ones(batch.num_rows, bool)
-                for lo, hi in _text.slices(offs):
-                    for d, *_ in search(ix, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
-                        keep[lo + d] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(lean(run), docs.schema)
-    return docs
+    shared = [docs.sparkSession.sparkContext.broadcast(ix) for ix in blocks(benchmark, item_col, item_text)]
+    if not shared:
+        return docs
+
+    def run(batches):
+        for slab in _slabs(batches, place):
+            keep = [np.ones(b.num_rows, bool) for b in slab]
+            for k, row, *_ in _found(slab, place, shared):
+                keep[k][row] = False
+            for batch, kept in zip(slab, keep):
+                yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
