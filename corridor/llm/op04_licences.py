@@ -4,7 +4,7 @@ A text is cut into sentences; each is folded (A-Z in lower case, everything but
 letters, digits and bytes beyond ASCII as blanks) and looked up among the known
 licence sentences.  The identifiers found, in order, are then matched with the
 licence rules: a rule is an ordered list of identifiers, with at most ``GAP``
-unknown sentences between two of them.  Of overlapping matches the rule with
+other sentences between two of them.  Of overlapping matches the rule with
 more sentences wins, then the earlier one, then the name.
 
 Sentences are cut twice, since both wrapped texts and one-line notices occur:
@@ -186,17 +186,11 @@ def match(ids: list[str], at: list[int], rules=RULES, gap: int = GAP) -> list[tu
         for k, name in enumerate(ids):
             if name != rule[0]:
                 continue
-            j, ok = k, True
+            reached = {k}  # where the rule's sentences so far may end
             for want in rule[1:]:
-                n = j + 1
-                while n < len(ids) and at[n] - at[j] <= gap + 1 and ids[n] != want:
-                    n += 1
-                ok = n < len(ids) and at[n] - at[j] <= gap + 1
-                if not ok:
-                    break
-                j = n
-            if ok:
-                found.append((k, j, licence, len(rule)))
+                reached = {n for j in reached for n in range(j + 1, min(len(ids), j + gap + 2)) if ids[n] == want and at[n] - at[j] <= gap + 1}
+            if reached:
+                found.append((k, min(reached), licence, len(rule)))
     out, used = [], set()
     for k, j, licence, size in sorted(found, key=lambda f: (-f[3], f[0], f[2])):
         own = set(range(k, j + 1))
