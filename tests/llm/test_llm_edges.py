@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_llm_queries import WORD, edits, plain_groups, plain_pieces
 
@@ -120,6 +121,38 @@ def test_network_tables_are_the_network():
     assert np.allclose(net.predict(x, net.tables()), p / p.sum(1, keepdims=True), atol=1e-5)
 
 
+def test_whole_texts_by_a_plain_network(spark):
+    """Every document's language and score: windows cut and convolved one by one, their answers weighed by bytes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, LONG, None), (-2, "é" * 300, None), (-3, "A\0b" * 90, None)], "doc_id long, text string, lang string"))
+    net = o1.train(docs.where(~o1.fold()))
+
+    def plain(window):
+        x = np.frombuffer(window.ljust(o1.LENGTH, b"\0").replace(b"\0", b"\0"), np.uint8)
+        z = []
+        for w in o1.WIDTHS:
+            z.append(np.max([sum(net.p["emb"][x[i + j]] @ net.p[f"w{w}"][j] for j in range(w)) + net.p[f"b{w}"] for i in range(o1.LENGTH - w + 1)], axis=0))
+        v = np.maximum(np.concatenate(z), 0) @ net.p["out"] + net.p["bias"]
+        e = np.exp(v - v.max())
+        return e / e.sum()
+
+    got = {r["doc_id"]: r for r in o1.identify(docs, net).collect()}
+    rows = docs.collect()
+    few = [r for r in rows if r["doc_id"] < 0] + [r for r in rows if r["text"] and len(r["text"].encode()) < 1500][:60]
+    for i, text, _ in few:
+        raw = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 0 else c for c in (text or "").encode())
+        raw = raw[: 256 * 12] if len(raw) > 256 * 400 else raw
+        if len(raw) < len((text or "").encode()):
+            part = o1.identify(spark.createDataFrame([(i, raw.decode())], "doc_id long, text string"), net).first()
+        else:
+            part = got[i]
+        cuts = [raw[k : k + 256] for k in range(0, len(raw), 256)]
+        p = sum(plain(c) * len(c) for c in cuts) / len(raw)
+        if any(ch.isalpha() for ch in text):
+            assert abs(part["score"] - p.max()) < 1e-4 and (part["lang_pred"] == net.classes[int(p.argmax())] or np.diff(np.sort(p)[-2:])[0] < 1e-4)
+        else:
+            assert part["lang_pred"] == "und" and part["score"] == 0
+
+
 # --- 2
 
 
@@ -188,7 +221,7 @@ def test_foreign_arcs(version):
 def plain_removal(rows, k):
     first = {}
     words = [WORD.findall(t or "") for _, t in rows]
-    key = [i if i is not None else 2**63 - 1 for i, _ in rows]
+    key = [i if i is not None else 2**63 for i, _ in rows]
     for d, w in enumerate(words):
         for i in range(len(w) - k + 1):
             g = tuple(w[i : i + k])
@@ -219,6 +252,38 @@ def test_substrings_edges(spark):
     got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in o3.remove_repeats(docs_of(spark, rows), 13).collect()}
     assert got == {(2, 60_000, 60_000), (1, 60_001, 0)}
     assert o3.remove_repeats(empty(spark)).count() == 0
+    apart = [(k, prose(30, random.Random(k))) for k in range(5)]  # nothing survives the first level
+    assert sorted(tuple(r) for r in o3.remove_repeats(docs_of(spark, apart)).collect()) == sorted(plain_removal(apart, 13))
+
+
+def test_largest_and_smallest_ids(spark):
+    """The largest long is an id as any other and comes before a null one; so with the smallest."""
+    same = prose(40)
+    rows = [(2**63 - 1, same), (None, same + " tail"), (None, prose(20)), (-(2**63), prose(9)), (2**63 - 2, prose(3) + " " + same), (2**63 - 1, same)]
+    got = sorted((tuple(r) for r in o3.remove_repeats(docs_of(spark, rows, False)).collect()), key=str)
+    assert got == sorted(plain_removal(rows, 13), key=str) and sum(r[2] for r in got) == 120
+    late = [(None, same), (2**63 - 1, same)]
+    got = {(r["doc_id"], r["n_removed"]) for r in o3.remove_repeats(docs_of(spark, late, False)).collect()}
+    assert got == {(None, 40), (2**63 - 1, 0)}
+    # the same in chunks apart from each other
+    far = docs_of(spark, [late[0]], False).repartition(1).unionByName(docs_of(spark, [late[1]], False).repartition(1))
+    assert {(r["doc_id"], r["n_removed"]) for r in o3.remove_repeats(far).collect()} == {(None, 40), (2**63 - 1, 0)}
+    got = sorted((tuple(r) for r in o7.groups(docs_of(spark, rows, False)).collect()), key=str)
+    assert got == sorted(plain_groups(rows, 4, 85), key=str) and (2**63 - 1) in {r[2] for r in got} | {r[0] for r in got}
+
+
+def test_many_buckets_for_few_keys():
+    """A chunk's rows are at most its keys, and its work does not grow with the buckets."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 3000, dtype=np.uint64))
+    for n in (1, 7, 10**9):
+        rows = _chunks.send(5, keys, n, lambda part, own: _chunks.steps(part))
+        assert len(rows) <= len(keys) and [b for _, b, _ in rows] == sorted({b for _, b, _ in rows})
+        assert np.concatenate([_chunks.unsteps(x) for _, _, x in rows]).tolist() == keys.tolist()
+        assert all((_chunks.bucket_of(_chunks.unsteps(x), n) == b).all() for _, b, x in rows)
+    for size in (0, 1, 32, 33, 5000):
+        for kind in (np.uint8, np.uint32, np.int64, np.uint64):
+            x = np.arange(size).astype(kind)
+            assert (_chunks.expand(_chunks.squeeze(x), kind) == x).all() and len(_chunks.expand(_chunks.squeeze(x), kind)) == size
 
 
 # --- 4
@@ -233,6 +298,50 @@ def test_licence_rules():
     assert all(s in o4.SENTENCES for _, rule in o4.RULES for s in rule)
 
 
+def test_licence_rules_by_search(spark):
+    """Random runs of known and unknown sentences: every choice of places is tried for every rule."""
+    from itertools import product
+
+    def plain(ids):
+        known = [k for k, x in enumerate(ids) if x]
+        found = []
+        for licence, rule in o4.RULES:
+            places = [[k for k in known if ids[k] == want] for want in rule]
+            ends = {}
+            for chosen in product(*places):
+                if all(a < b <= a + o4.GAP + 1 for a, b in zip(chosen, chosen[1:])):
+                    ends[chosen[0]] = min(chosen[-1], ends.get(chosen[0], chosen[-1]))
+            found += [(-len(rule), a, licence, b) for a, b in ends.items()]
+        out, used = [], set()
+        for _, a, licence, b in sorted(found):
+            own = {k for k in known if a <= k <= b}
+            if not own & used:
+                used |= own
+                out.append(licence)
+        return sorted(out)
+
+    rng, rows, want = random.Random(21), [], {}
+    several = [r for r in o4.RULES if len(r[1]) > 1]
+    for d in range(300):
+        ids = []
+        for _ in range(rng.randint(1, 3)):
+            _, rule = rng.choice(several)
+            for name in rule:
+                if rng.random() < 0.93:
+                    ids.append(name)
+                if rng.random() < 0.1:
+                    ids.append(rng.choice(rule))
+                ids += [None] * rng.choice([0, 0, 0, 1, 2, 3])
+        known = [k for k, x in enumerate(ids) if x]
+        assert sorted(x[2] for x in o4.match([ids[k] for k in known], known)) == plain(ids)
+        # as a text, a sentence a line; sentences that hold stops of their own are left out
+        if all("http" not in o4.SENTENCES[x] and x not in ("mpl-form", "gpl2-or-later", "apache-header") and not re.search(r"[.!?:;]\s", o4.SENTENCES[x]) for x in ids if x):
+            rows.append((d, "\n".join(o4.SENTENCES[x] if x else "Something else stands here." for x in ids)))
+            want[d] = sorted(set(plain(ids)))
+    got = {r["doc_id"]: r["licences"] for r in o4.scan(docs_of(spark, rows)).collect()}
+    assert got == want and len(want) > 40 and any(len(v) > 1 for v in want.values())
+
+
 def test_licence_texts(spark):
     full = lambda names, sep: sep.join(o4.SENTENCES[n] for n in names)
     wrapped = re.sub(r"((?:\S+ ){7}\S+) ", r"\1\n", full(o4.RULES[0][1], " "))
@@ -312,13 +421,16 @@ def test_nearest_edges(spark):
     rows += [(300, None), (301, [0.0] * 8), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] + [1.0] * 7), (304, [float("inf")] + [1.0] * 7), (305, [1.0] * 7), (None, base[3].tolist()), (20, base[20].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("class", F.lit(0)).withColumn("digest", F.lit("x"))
     got = {}
-    for r in o6.nearest(df, F.col("id") % 20 == 0, probes=16).orderBy("query_id", "rank").collect():
+    for r in o6.nearest(df, F.col("id") % 20 == 0, probes=1000).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     usable = {i: np.array(v) for i, v in rows if i is not None and (i < 150 or 200 <= i < 260)}
     assert sorted(got) == sorted(i for i in usable if i % 20 == 0)
     for q, mine in got.items():
         s = sorted(((float(usable[q] @ v), -i) for i, v in usable.items() if i != q), reverse=True)[:20]
         assert [i for i, _ in mine] == [-i for _, i in s] and np.allclose([x for _, x in mine], [x for x, _ in s], atol=1e-12)
+    # nothing is met often enough: every query is searched exactly, to the same rows
+    told = lambda **more: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in o6.nearest(df, F.col("id") % 20 == 0, **more).collect())
+    assert told(tables=2, probes=1, stray=0.0) == told(probes=1000)
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<double>")
     assert o6.nearest(few, F.col("id") == 0).count() == 4
     assert o6.nearest(few.limit(0), F.col("id") == 0).count() == 0
@@ -371,24 +483,60 @@ def test_packing_edges(spark):
 
 
 def test_sum_of_squares_choice():
-    rng, w = random.Random(2), 32
-    bins = o8.SumOfSquares(w)
-    for _ in range(500):
-        s = rng.randint(1, w - 1)
-        n = bins.level.copy()
-
-        def cost(fill, n=n, s=s):
-            after = n.copy()
-            if fill:
-                after[fill] -= 1
-            if fill + s < w:
-                after[fill + s] += 1
-            return int((after**2).sum())
-
-        options = [f for f in range(w - s + 1) if f == 0 or n[f]]
-        _, fill = bins.place(s)
-        assert cost(fill) == min(map(cost, options))
-        assert (bins.level == [len(o) for o in bins.open]).all()
+    rng, w, cut = random.Random(2), 32, 0
+    for most in (1, 4, 60):
+        bins = o8.SumOfSquares(w, most)
+        filled: dict[int, int] = {}
+        for _ in range(700):
+            s = rng.randint(1, w - 1) if rng.random() < 0.5 else rng.randint(w // 2 + 1, w - 1)
+            n, few = list(bins.level), bins.held < most
+
+            def cost(fill, n=n, s=s):
+                after = n.copy()
+                if fill:
+                    after[fill] -= 1
+                if fill + s < w:
+                    after[fill + s] += 1
+                return sum(x * x for x in after)
+
+            options = [f for f in range(w - s + 1) if (f == 0 and few) or (f and n[f])]
+            parts = bins.place(s)
+            if options:
+                assert len(parts) == 1 and cost(parts[0][1]) == min(map(cost, options))
+            else:
+                cut += 1
+                assert len(parts) > 1 and all(fill + size == w for _, fill, size in parts[:-1])
+            for seq, fill, size in parts:
+                assert filled.get(seq, 0) == fill
+                filled[seq] = fill + size
+            assert sum(size for *_, size in parts) == s and bins.held <= most
+            assert bins.level == [len(bins.open.get(f, [])) for f in range(w + 1)] and sum(bins.level) == bins.held
+    assert cut > 100
+
+
+def test_ids_are_the_tokenizers(monkeypatch):
+    """Random texts of all kinds of characters, with a cache that turns over all the time."""
+    monkeypatch.setattr(o8, "CACHE_WORDS", 40)
+    tok, rng = o8.WordTokenizer(o8.default_tokenizer()), random.Random(31)
+    kinds = ["abcXYZ", "0123456789", "'!?.,-_/\"<|>$", "'s't've'll'd'RE", " ", "  ", "\n", "\t\r\n", "éßλ中ſ", "\u00a0\u2003\x85", "\U0001f600٣²", "the of and "]
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 40)))
+        if rng.random() < 0.2:
+            text += rng.choice(["<|endoftext|>", "it's we'll 'tis", " ", "\n\n", "12,345.67", "a\n b", "x  y"]) + rng.choice(["", "z", " "])
+        want = [*tok.tokenizer.encode(text, add_special_tokens=False).ids, o8.END_ID]
+        assert np.frombuffer(tok.ids(text), np.uint32).tolist() == want, text
+
+
+def test_few_windows_are_open(spark):
+    """Pieces above half a window: none fits with another, yet few are held, and few ids are left for the end."""
+    rows = [(k, "word " * 699 + "x") for k in range(300)]
+    pieces = [r.asDict() for r in o8.pack(docs_of(spark, rows, False).repartition(1), o8.default_tokenizer()).collect()]
+    waste, total = plain_pieces(pieces, rows)
+    assert waste == 0 and sum(r["length"] == r["doc_tokens"] for r in pieces) > 60
+    full = {}
+    for r in pieces:
+        full[r["sequence_id"]] = full.get(r["sequence_id"], 0) + r["length"]
+    assert sum(n for n in full.values() if n == 1024) > total - 1024
 
 
 # --- 9
@@ -415,7 +563,7 @@ def test_quality_edges(spark):
 # --- 10
 
 
-def test_decontamination_edges(spark):
+def test_decontamination_edges(spark, monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng.randint(20, 50), rng)) for k in range(12)] + [(50, None), (51, ""), (52, "tiny"), (None, prose(30, rng))]
     rows = [*EDGES]
@@ -431,8 +579,13 @@ def test_decontamination_edges(spark):
     kept = o10.clean(docs_of(spark, rows), bench)
     assert len(kept.columns) == 2 + len(CLASH) and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in got}
     assert o10.matches(empty(spark), bench).count() == 0 and o10.matches(docs_of(spark, rows), bench.limit(0)).count() == 0
-    blocks = list(o10.blocks(bench, "item_id", "text", most=5))
-    assert len(blocks) == 4
+    # small blocks: items cut into parts, several blocks in one pass; the rows are the same
+    whole = sorted(o10.matches(docs_of(spark, rows), bench).collect())
+    monkeypatch.setattr(o10, "BLOCK_CHARS", 130)
+    blocks = list(o10.blocks(bench, "item_id", "text"))
+    assert len(blocks) > 12 and max(len(ix.body) for ix in blocks) <= 130 + o10.WINDOW
+    assert sorted(o10.matches(docs_of(spark, rows), bench).collect()) == whole
+    assert {r["doc_id"] for r in o10.clean(docs_of(spark, rows), bench).collect()} == {r[0] for r in rows} - {d for d, _ in got}
 
 
 def test_alignment_is_cell_by_cell():
