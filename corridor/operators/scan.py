@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import color
-from corridor.sources.store import materialise, small
+from corridor.sources.store import large, materialise, small
 
 
 def windows(pixels: DataFrame, size: int, stride: int) -> DataFrame:
@@ -54,6 +54,6 @@ def view(pixels: DataFrame, scored: DataFrame, size: int, threshold: float) -> D
     heat = score_map(scores, size)
     _, hits = detect(scores, size, threshold)
     key = ["tile", "prow", "pcol"]
-    rows = pixels.join(heat, key, "left").join(hits.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    rows = pixels.join(large(heat), key, "left").join(large(hits.withColumn("hit", F.lit(True))), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     green = [F.when(F.col("hit"), color.blend(F.col(b), v, 0.5)).otherwise(F.col(b)).cast("int").alias(f"{b}_shown") for b, v in (("r", 0.0), ("g", 255.0), ("b", 0.0))]
     return rows.select(*key, "r", "g", "b", "score", color.heat(F.col("score")).alias("heat"), "hit", *green)

@@ -18,7 +18,7 @@ def _broadcasts(df):
     return [x.strip() for x in plan.splitlines() if "BroadcastHashJoin" in x and "pcol#" in x.split("],")[0]]
 
 
-@pytest.mark.parametrize("name", ["tiles_measured", "tiles_run"])
+@pytest.mark.parametrize("name", ["tiles_measured", "tiles_run", "scan_view"])
 def test_pixels_are_not_broadcast(name, spark, monkeypatch):
     found = []
 
