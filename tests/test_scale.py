@@ -52,3 +52,32 @@ def test_copies_look_once(name, spark, monkeypatch):
     assert len(rows) == 150 and {(r["feature_id"], r["separation"]) for r in rows} == {(5, 4.0), (5, 3.0)}
     QUERIES[name](spark, "/root/testdata/sf0.01")
     assert asked and all(n == places for pair in asked for n, places in pair)
+
+
+def test_equal_segments_are_compared_once(spark, monkeypatch):
+    """Copies are one class; all pairs of them come back, in the order of their numbers, a ring's copies with each other too."""
+    from corridor.operators import centerline
+
+    seen, look = [], centerline.facing
+    monkeypatch.setattr(centerline, "facing", lambda tips, c: (seen.append(tips.count()), look(tips, c))[1])
+    line = lambda lo, hi: [(0.0, float(x)) for x in range(lo, hi)]
+    ring = [(100 + r, c) for r, c in [*line(2, 8), (5.0, 7.0), (5.0, -7.0), *line(-7, -1)]]
+    rows = [(k, 2.0, line(0, 11) if k % 2 else line(14, 25)) for k in range(1, 7)] + [(7, 2.0, ring), (8, 2.0, ring)]
+    df = spark.createDataFrame(rows, "seg_id long, radius double, points array<struct<row: double, col: double>>")
+    found = centerline.bridges(df)
+    got = {(r["a"], r["b"]): (r["place_a"], r["place_b"], r["gap"]) for r in found.collect()}
+    want = {(a, b): ((1, 0, 4.0) if a % 2 else (0, 1, 4.0)) for a in range(1, 7) for b in range(a + 1, 7) if (a + b) % 2}
+    assert got == want | {(7, 8): (0, 1, 4.0)} and found.count() == 10
+    assert seen == [6]
+
+
+def test_equal_bridges_are_drawn_once(spark, monkeypatch):
+    from corridor.operators import centerline
+
+    drawn, keep = [], store.materialise
+    monkeypatch.setattr(centerline, "materialise", lambda df, tag: (drawn.append((tag, out := keep(df, tag))), out)[1])
+    rows = [(a, b, 4.0, 0.0, 10.0, 0.0, 14.0, 2.0, 1, 0) for a in (1, 3, 5) for b in (6, 8)]
+    df = spark.createDataFrame(rows, "a long, b long, gap double, row double, col double, row1 double, col1 double, radius double, place_a int, place_b int")
+    px = centerline.bridge_pixels(df).groupBy("a", "b").count().collect()
+    assert len(px) == 6 and {r["count"] for r in px} == {5 * 5 + 8}
+    assert [(tag, out.count()) for tag, out in drawn] == [("bridges", 1)]
