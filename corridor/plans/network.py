@@ -75,7 +75,7 @@ def point_on_line(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
-    return spatial.reference_road(spatial.sections(load(spark, sf_dir, "lanes"), 20.0), streets(spark, sf_dir))
+    return spatial.lane_roads(load(spark, sf_dir, "lanes"), streets(spark, sf_dir), 20.0)
 
 
 def nearest_road(spark, sf_dir):

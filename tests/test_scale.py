@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from conftest import SF
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from corridor import plans
 from corridor.operators import raster, scan, sections, spatial
 from corridor.sources import store
+from corridor.sources.relations import load
 
 QUERIES = plans.queries()
 
@@ -56,6 +59,55 @@ def test_copies_look_once(name, spark, monkeypatch):
     assert asked and all(n == places for pair in asked for n, places in pair)
 
 
+@pytest.mark.parametrize("name", NEAR)
+def test_lanes_of_one_place_are_one_lane(name, spark, monkeypatch):
+    """Sections are made once for each place of lanes."""
+    asked, make = [], spatial.sections
+    monkeypatch.setattr(spatial, "sections", lambda lanes, *rest: (asked.append((lanes.count(), lanes.select("x0", "y0", "x1", "y1").distinct().count())), make(lanes, *rest))[1])
+    QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert asked == [(200, 200)]
+
+
+@pytest.mark.parametrize("tile", [False, True])
+def test_lane_roads(tile, spark):
+    """Every copy of a lane gets what its own sections get, far ones and lanes of other tiles too."""
+    rng = np.random.default_rng(3)
+    seg = lambda n, size: [(*map(float, a), *map(float, a + rng.uniform(-size, size, 2))) for a in rng.uniform(0, 90, (n, 2))]
+    places = [*seg(12, 15), (900.0, 900.0, 905.0, 900.0), (1.0, 1.0, 1.0, 1.0)]
+    lanes = spark.createDataFrame([(str(k), f"t{k % 2}", *places[k % 14]) for k in range(57)], "lane_id string, tile string, x0 double, y0 double, x1 double, y1 double")
+    roads = spark.createDataFrame([(k, "primary" if k % 3 else None, f"t{k % 2}", *r) for k, r in enumerate(seg(25, 30))], "feature_id long, highway string, tile string, x0 double, y0 double, x1 double, y1 double")
+    if not tile:
+        lanes, roads = lanes.drop("tile"), roads.drop("tile")
+    want = spatial.reference_road(spatial.sections(lanes, 4.0), roads)
+    got = spatial.lane_roads(lanes, roads, 4.0)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    rows = sorted(map(str, got.collect()))
+    assert rows == sorted(map(str, want.collect())) and 0 < sum("feature_id=None" in r for r in rows) < len(rows)
+
+
+def test_sections_are_compiled(spark):
+    """Generated methods beyond 8000 bytes are never compiled by the JVM: not those that make sections for a join either."""
+    key = ["px", "py", "tx", "ty"]
+    on = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 5)], "px double, py double, tx double, ty double, feature_id long")
+        rows = spatial.sections(load(spark, SF, "lanes"), 20.0).join(found, key)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", rows._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", on)
+    assert sizes and max(sizes) < 8000
+
+
+def test_a_repeated_road_id_is_one_road(spark):
+    """A section has one row, however often its road is given; a road without an id hides none."""
+    lanes = spark.createDataFrame([("a", 0.0, 0.0, 5.0, 0.0)], "lane_id string, x0 double, y0 double, x1 double, y1 double")
+    roads = spark.createDataFrame([(7, "primary", 4.0), (7, "primary", 4.0), (7, "tertiary", 9.0), (None, "primary", 2.0)], "feature_id long, highway string, y0 double").selectExpr("*", "0D AS x0", "9D AS x1", "y0 AS y1")
+    got = spatial.reference_road(spatial.sections(lanes, 2.0), roads).collect()
+    assert [(r["k"], r["feature_id"], r["highway"], r["separation"]) for r in got] == [(k, 7, "primary", 4.0) for k in range(3)]
+
+
 def test_equal_segments_are_compared_once(spark, monkeypatch):
     """Copies are one class; all pairs of them come back, in the order of their numbers, a ring's copies with each other too."""
     from corridor.operators import centerline
