@@ -84,8 +84,10 @@ def nearest_road(spark, sf_dir):
 
 
 def nearest_road_angle(spark, sf_dir):
-    out = _near(spark, sf_dir).where("feature_id IS NOT NULL")
-    return out.groupBy("highway").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 4).alias("mean_angle"), F.round(F.max("separation"), 6).alias("farthest"))
+    """``lanes`` has at most 200 places, however many lanes: each counts for the lanes that lie there."""
+    out = spatial.counted_roads(load(spark, sf_dir, "lanes"), streets(spark, sf_dir), 20.0)
+    n = F.sum("n")
+    return out.groupBy("highway").agg(n.alias("n"), F.round(F.sum(F.col("angle") * F.col("n")) / n, 4).alias("mean_angle"), F.round(F.max("separation"), 6).alias("farthest"))
 
 
 def far_sections(spark, sf_dir):

@@ -100,6 +100,57 @@ def test_sections_are_compiled(spark):
     assert sizes and max(sizes) < 8000
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_pairs_of_a_section_and_a_road_are_compiled(broadcast, spark):
+    """As above, whether pairs are made by merging or by a broadcast."""
+    on, most = (spark.conf.get(f"spark.sql.{k}") for k in ("adaptive.enabled", "autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        roads = spark.createDataFrame([(7, "primary", 0.0, 4.0, 9.0, 4.0)], "feature_id long, highway string, x0 double, y0 double, x1 double, y1 double")
+        found = spatial.counted_roads(load(spark, SF, "lanes"), roads)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", found._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", on)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("tile", [False, True])
+def test_counted_roads(tile, spark):
+    """As many sections at each place, with the same roads, as ``lane_roads`` has rows; lanes that overlap share places."""
+    rng = np.random.default_rng(4)
+    seg = lambda n, size: [(*map(float, a), *map(float, a + rng.uniform(-size, size, 2))) for a in rng.uniform(0, 90, (n, 2))]
+    places = [*seg(12, 15), (40.0, 40.0, 56.0, 40.0), (44.0, 40.0, 60.0, 40.0), (900.0, 900.0, 905.0, 900.0), (1.0, 1.0, 1.0, 1.0), (None, 1.0, 2.0, 1.0)]
+    lanes = spark.createDataFrame([(str(k), f"t{k % 2}", *places[k % 17]) for k in range(75)], "lane_id string, tile string, x0 double, y0 double, x1 double, y1 double")
+    roads = spark.createDataFrame([(k if k % 5 else None, "primary" if k % 3 else None, f"t{k % 2}", *r) for k, r in enumerate([*seg(25, 30), (30.0, 45.0, 70.0, 45.0), (30.0, 45.0, 70.0, 45.0)])], "feature_id long, highway string, tile string, x0 double, y0 double, x1 double, y1 double")
+    if not tile:
+        lanes, roads = lanes.drop("tile"), roads.drop("tile")
+    got = spatial.counted_roads(lanes, roads, 4.0)
+    found = [x for x in got.columns if x != "n"]
+    want = spatial.lane_roads(lanes, roads, 4.0).where("feature_id IS NOT NULL").groupBy(*found).agg(F.count(F.lit(1)).alias("n")).select(*got.columns)
+    rows = sorted(map(str, got.collect()))
+    assert rows == sorted(map(str, want.collect())) and len(rows) > 20
+
+
+def test_angles_count_each_lane(spark):
+    """``nearest_road_angle`` against SQL where places have 7 or 8 lanes; they are read once and never rows again."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = QUERIES["nearest_road_angle"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[c_custkey", plan)) == 1
+    got = found.collect()
+    want = con.execute(plans.oracle_sql()["nearest_road_angle"]).fetchall()
+    plain = lambda rows: sorted((str(h), n, f"{a:.9g}", f"{d:.9g}") for h, n, a, d in rows)
+    assert plain(map(tuple, got)) == plain(want) and sum(r["n"] for r in got) > 1500
+
+
 def test_a_repeated_road_id_is_one_road(spark):
     """A section has one row, however often its road is given; a road without an id hides none."""
     lanes = spark.createDataFrame([("a", 0.0, 0.0, 5.0, 0.0)], "lane_id string, x0 double, y0 double, x1 double, y1 double")
