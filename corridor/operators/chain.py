@@ -6,6 +6,8 @@ Pixels beyond their tile's frame, or without a value in a band, are none.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -212,8 +214,17 @@ def run_whole(pixels: DataFrame, found: DataFrame, streets: DataFrame, tiles: Da
     arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
     types = [arrow[x.split()[1]] for x in schema]
 
-    def run(key, pieces: pa.Table, frames: pa.Table) -> pa.Table:
-        rows = [s | {"tile": f["tile"]} for f in frames.to_pylist() for s in one(pieces, f, gsd, branch, c)]
+    # a group has about as many pixels as a block
+    n, largest = tiles.agg(F.count(F.lit(1)), F.max(F.col("height").cast("long") * F.col("width"))).first()
+    groups = -(-n // min(64, max(1, WHOLE // max(largest or 1, 1)))) or 1
+    group = F.pmod(F.xxhash64("tile"), F.lit(groups)).alias("group")
+
+    def run(pieces: pa.Table, frames: pa.Table) -> pa.Table:
+        own = defaultdict(list)
+        for k, tile in enumerate(pieces.column("tile").to_pylist()):
+            own[tile].append(k)
+        rows = [s | {"tile": f["tile"]} for f in frames.to_pylist() for s in one(pieces.take(pa.array(own[f["tile"]], pa.int64())), f, gsd, branch, c)]
         return pa.Table.from_arrays([pa.array([r.get(x) for r in rows], t) for x, t in zip(names, types)], names=names)
 
-    return pack(pixels).groupBy("tile").cogroup(frame.groupBy("tile")).applyInArrow(run, ", ".join(schema))
+    left, right = pack(pixels).select("*", group), frame.select("*", group)
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(run, ", ".join(schema))
